@@ -23,13 +23,13 @@ SHINGLE = 3
 #: Hash functions, and how many must agree in one window for a candidate.
 K, AGREE = 16, 4
 #: Bounds of the size partitions grow by this factor.
-GROWTH = 1.4
+GROWTH = 1.7
 #: Share of an item's words that a running passage must hold.
 SHARE = 1 / 3
 #: A small change leaves fewer than so many words between two kept pairs, and this share of a passage's words in place.
 GAP, IN_PLACE = 3, 0.8
 #: Windows of a document start every so many-th part of a window.
-STEPS = 4
+STEPS = 3
 #: Query keys that may be sent to every task (8 bytes and an item number each); beyond, candidates come from a join.
 MAX_KEYS = 4_000_000
 #: Openings that so many items share are instructions.
@@ -45,50 +45,62 @@ _SENTENCE = regex.compile(r"^.*?[.:!?](?=\s|$)", regex.S)
 
 def words(text: str) -> list[str]:
     """The words of a text without regard to case, accents, look-alike letters, invisible characters, hyphens, layout."""
-    t = unicodedata.normalize("NFKD", text)
-    t = _DROP.sub("", t).lower().translate(_LOOKALIKE)
-    return _WORD.findall(_HYPHEN.sub("", t))
+    if not text.isascii():
+        text = _DROP.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_LOOKALIKE)
+    return _WORD.findall(_HYPHEN.sub("", text.lower()))
 
 
 _A = np.array([xxhash.xxh64_intdigest(f"a{i}") | 1 for i in range(K)], dtype=np.uint64)
 _B = np.array([xxhash.xxh64_intdigest(f"b{i}") for i in range(K)], dtype=np.uint64)
 
 
-def _marks(ws: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in ws:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter((known[w] for w in ws), dtype=np.uint64, count=len(ws))
+#: Words of documents that a task works on at once.
+CHUNK = 150_000
+
+
+class Windows:
+    """The shingles of several texts laid end to end, and the K minima of windows that stay inside a text."""
+
+    def __init__(self, texts: list[list[str]], known: dict[str, int]) -> None:
+        for ws in texts:
+            for w in ws:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+        marks = np.fromiter((known[w] for ws in texts for w in ws), dtype=np.uint64)
+        lengths = np.fromiter((len(ws) for ws in texts), dtype=np.int64, count=len(texts))
+        self.start = np.cumsum(lengths) - lengths
+        self.count = np.maximum(lengths - SHINGLE + 1, 0)
+        n = max(len(marks) - SHINGLE + 1, 0)
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(SHINGLE):
+            h = (h ^ marks[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        v = h[None, :] * _A[:, None] + _B[:, None]
+        self.values = v ^ (v >> np.uint64(31))
+
+    def minima(self, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(K, windows) and the text of each window; windows start every step shingles and at the last possible place.
+
+        A text of fewer shingles than a window is one window; one without any shingle has none.
+        """
+        v, span, long = self.values, 1, np.flatnonzero(self.count >= width)
+        rolled = v
+        while span * 2 <= width:
+            rolled = np.minimum(rolled[:, : rolled.shape[1] - span], rolled[:, span:])
+            span *= 2
+        room = self.count[long] - width
+        n = room // step + 1 + (room % step > 0)
+        text = np.repeat(long, n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = self.start[text] + np.minimum(at * step, np.repeat(room, n))
+        got = np.minimum(rolled[:, at], rolled[:, at + width - span])
+        short = np.flatnonzero((self.count > 0) & (self.count < width))
+        few = [v[:, self.start[i] : self.start[i] + self.count[i]].min(axis=1, keepdims=True) for i in short]
+        return np.concatenate([got, *few], axis=1), np.r_[text, short]
 
 
-def _shingles(marks: np.ndarray) -> np.ndarray:
-    """One hash per position from its next SHINGLE words."""
-    n = len(marks) - SHINGLE + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(SHINGLE):
-        h = (h ^ marks[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def _minima(h: np.ndarray, width: int, step: int) -> np.ndarray:
-    """(K, windows): the smallest hash of each function in windows of so many shingles that start every step shingles.
-
-    The last window is always included; a text shorter than a window is one window.
-    """
-    v = h[None, :] * _A[:, None] + _B[:, None]
-    v ^= v >> np.uint64(31)
-    n = h.shape[0]
-    if n <= width:
-        return v.min(axis=1, keepdims=True)
-    span = 1
-    while span * 2 <= width:
-        v = np.minimum(v[:, :-span], v[:, span:])
-        span *= 2
-    at = np.unique(np.r_[np.arange(0, n - width + 1, step), n - width])
-    return np.minimum(v[:, at], v[:, at + width - span])
+_A = np.array([xxhash.xxh64_intdigest(f"a{i}") | 1 for i in range(K)], dtype=np.uint64)
+_B = np.array([xxhash.xxh64_intdigest(f"b{i}") for i in range(K)], dtype=np.uint64)
 
 
 def _keyed(minima: np.ndarray, part: int) -> np.ndarray:
@@ -133,26 +145,33 @@ def item_keys(bare: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for i, t in zip(b["item_id"], b["text"]):
-                ws = words(t)
-                h = _shingles(_marks(ws, {}))
-                if len(h):
-                    p = size_part(len(ws))
-                    keys = np.unique(_keyed(_minima(h, part_width(p), 1), p))
-                    out.append(pd.DataFrame({"part": p, "key": keys, "item_id": i}))
-            if out:
-                yield pd.concat(out)
+            texts = [words(t) for t in b["text"]]
+            part = np.array([size_part(len(ws)) for ws in texts])
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                m, text = Windows([texts[i] for i in at], {}).minima(part_width(int(p)), 1)
+                k = _keyed(m, int(p))
+                who = np.broadcast_to(b["item_id"].to_numpy()[at][text], k.shape)
+                yield pd.DataFrame({"part": int(p), "key": k.ravel(), "item_id": who.ravel()}).drop_duplicates()
 
     return bare.mapInPandas(run, "part int, key long, item_id long")
 
 
-def _windows(ws: list[str], parts: list[int], known: dict[str, int]) -> Iterator[tuple[int, np.ndarray]]:
-    h = _shingles(_marks(ws, known))
-    if len(h):
-        for p in parts:
-            w = part_width(p)
-            yield p, _keyed(_minima(h, w, max(1, w // STEPS)), p)
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[list[str]], Windows]]:
+    """Documents of CHUNK words or, if one alone is longer, of one document, with their windows."""
+    known: dict[str, int] = {}
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for d, t in zip(b["doc_id"], b["text"]):
+            ids.append(d)
+            texts.append(words(t))
+            size += len(texts[-1])
+            if size >= CHUNK:
+                yield ids, texts, Windows(texts, known)
+                ids, texts, size = [], [], 0
+                known = known if len(known) < 1_000_000 else {}
+    if ids:
+        yield ids, texts, Windows(texts, known)
 
 
 def held(item: list[str], doc: list[str]) -> float:
@@ -198,22 +217,24 @@ def _small_search(docs: DataFrame, keys: DataFrame, bare: DataFrame, parts: list
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, item, texts = sent.value
-        known: dict[str, int] = {}
-        for b in batches:
-            pairs: list[tuple[int, int]] = []
-            known = known if len(known) < 1_000_000 else {}
-            for d, t in zip(b["doc_id"], b["text"]):
-                ws = words(t)
-                hits: set[int] = set()
-                for _, ks in _windows(ws, parts, known) if len(key) else ():
-                    lo = np.searchsorted(key, ks)
-                    there = key[np.minimum(lo, len(key) - 1)] == ks
-                    for w in np.flatnonzero(there.sum(axis=0) >= AGREE):
-                        a = lo[there[:, w], w]
-                        z = np.searchsorted(key, ks[there[:, w], w], side="right")
-                        ids, counts = np.unique(np.concatenate([item[x:y] for x, y in zip(a, z)]), return_counts=True)
-                        hits.update(ids[counts >= AGREE].tolist())
-                pairs.extend((d, i) for i in hits if share is None or held(texts[i], ws) >= share - 1e-9)
+        for ids, doc_words, win in _chunks(batches):
+            hits: set[tuple[int, int]] = set()
+            for p in parts:
+                w = part_width(p)
+                m, text = win.minima(w, max(1, w // STEPS))
+                ks = _keyed(m, p)
+                lo = np.searchsorted(key, ks)
+                there = key[np.minimum(lo, len(key) - 1)] == ks
+                full = np.flatnonzero(there.sum(axis=0) >= AGREE)
+                f, c = np.nonzero(there[:, full])
+                a, z = lo[f, full[c]], np.searchsorted(key, ks[f, full[c]], side="right")
+                n = z - a
+                flat = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                met = np.stack([np.repeat(c, n), item[flat]])
+                (c, i), agree = np.unique(met, axis=1, return_counts=True)
+                enough = agree >= AGREE
+                hits.update(zip(text[full[c[enough]]].tolist(), i[enough].tolist()))
+            pairs = [(ids[d], i) for d, i in hits if share is None or held(texts[i], doc_words[d]) >= share - 1e-9]
             yield pd.DataFrame(pairs, columns=["doc_id", "item_id"])
 
     return docs.mapInPandas(look, "doc_id long, item_id long")
@@ -223,12 +244,14 @@ def _large_search(docs: DataFrame, keys: DataFrame, parts: list[int]) -> DataFra
     """doc_id, item_id by a join of the windows' keys; a document is told apart by its id."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for b in batches:
-            for d, t in zip(b["doc_id"], b["text"]):
-                for p, ks in _windows(words(t), parts, known):
-                    win = np.broadcast_to(np.arange(ks.shape[1]), ks.shape)
-                    yield pd.DataFrame({"doc_id": d, "part": p, "win": win.ravel(), "key": ks.ravel()})
+        for ids, _, win in _chunks(batches):
+            who = np.array(ids)
+            for p in parts:
+                w = part_width(p)
+                m, text = win.minima(w, max(1, w // STEPS))
+                k = _keyed(m, p)
+                at = np.broadcast_to(np.arange(k.shape[1]), k.shape)
+                yield pd.DataFrame({"doc_id": np.broadcast_to(who[text], k.shape).ravel(), "part": p, "win": at.ravel(), "key": k.ravel()})
 
     met = docs.mapInPandas(spread, "doc_id long, part int, win int, key long").join(keys, ["part", "key"])
     return met.groupBy("doc_id", "part", "win", "item_id").count().where(F.col("count") >= AGREE).select("doc_id", "item_id").distinct()
@@ -257,6 +280,8 @@ def search(documents: DataFrame, eval_items: DataFrame, share: float | None = SH
     docs = documents.where("text is not null and doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text")
     sizes = keys.groupBy("part").count().collect()  # one row per size partition: logarithmic in the longest item
     parts = sorted(r["part"] for r in sizes)
+    if not parts:
+        return docs.selectExpr("doc_id", "doc_id as item_id").where("false")
     if sum(r["count"] for r in sizes) <= max_keys:
         return _small_search(docs, keys, bare, parts, share).distinct()
     pairs = _large_search(docs, keys, parts)
