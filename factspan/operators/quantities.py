@@ -142,8 +142,9 @@ def alias_dictionary(spellings: DataFrame, spelling: str = "spelling") -> DataFr
     go to the form that shares more n-grams, then to the alphabetically first.
     """
     known = unit_catalogue(spellings.sparkSession)
-    s = spellings.select(F.col(spelling).alias("spelling")).where("trim(spelling) <> ''").distinct()
-    s = s.withColumn("plain", plain_unit("spelling"))
+    # staged, or else the joins' null checks on the plain form are pushed below distinct() and run on every row
+    s = staged(spellings.select(F.col(spelling).alias("spelling")).where("trim(spelling) <> ''").distinct())
+    s = s.withColumn("plain", plain_unit(F.col("spelling")))
     exact = s.join(known, s.plain == known.form).select("spelling", "form", "dimension", "size")
     rest = s.join(known, s.plain == known.form, "left_anti").where(F.length("plain").between(4, 24))
     a = rest.withColumn("g", _grams(F.col("plain"))).withColumn("na", F.size("g")).withColumn("gram", F.explode("g"))
