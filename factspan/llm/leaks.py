@@ -27,7 +27,7 @@ GROWTH = 1.7
 #: Share of an item's words that a running passage must hold.
 SHARE = 1 / 3
 #: A small change leaves fewer than so many words between two kept pairs, and this share of a passage's words in place.
-GAP, IN_PLACE = 3, 0.8
+GAP, IN_PLACE = 4, 0.8
 #: Windows of a document start every so many-th part of a window.
 STEPS = 3
 #: Query keys that may be sent to every task (8 bytes and an item number each); beyond, candidates come from a join.
