@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factspan.plans import problems
+from factspan.plans import core, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**core.QUERIES, **problems.QUERIES}
+SQL = {**core.SQL, **problems.SQL}
