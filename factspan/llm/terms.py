@@ -163,7 +163,10 @@ def term_mapping(entered: DataFrame, vocab_terms: DataFrame) -> DataFrame:
     words = ours.where("plain <> ''").select("field", "plain").distinct()
     known = known_spellings(vocab_terms)
     exact = words.join(known, ["field", "plain"]).select("field", "plain", "term_id", F.lit(0.0).alias("cost"))
-    rest = words.join(known, ["field", "plain"], "left_anti")
+    # An entry longer than every known spelling by more than the allowed edits is a miss for certain.
+    longest = known.groupBy("field").agg(F.max(F.length("plain")).alias("longest"))
+    rest = words.join(known, ["field", "plain"], "left_anti").join(F.broadcast(longest), "field")  # three rows
+    rest = rest.where(F.length("plain") <= F.col("longest") + MAX_EDITS).select("field", "plain")
     table = _with_deletes(known.select("field", "plain")).withColumnRenamed("plain", "spelling")
     # The dictionary comes from the term list and the names above alone: some 25,000 strings however much data there is.
     met = _with_deletes(rest).join(F.broadcast(table), ["field", "del"]).select("field", "plain", "spelling").distinct()
