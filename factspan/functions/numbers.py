@@ -14,7 +14,7 @@ def c_general(v: Column) -> Column:
     sci = F.format_string("%.5e", v)
     mantissa, power = F.regexp_extract(sci, r"^(-?[\d.]+)e", 1), F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
     bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    with_power = F.concat(bare(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    with_power = F.concat(bare(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     digits = F.regexp_replace(mantissa, r"[-.]", "")
     sign = F.when(mantissa.startswith("-"), "-").otherwise("")
     below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
