@@ -138,7 +138,7 @@ def known_spellings(vocab_terms: DataFrame) -> DataFrame:
     other = spark.createDataFrame([(t, a) for t, names in ALIASES.items() for a in names], "term string, plain string")
     own = vocab_terms.select("field", "term_id", "term")
     spelled = own.select("field", "term_id", plain(F.col("term")).alias("plain")).unionByName(own.join(other, "term").select("field", "term_id", "plain"))
-    none = own.select("field").distinct().crossJoin(spark.createDataFrame([(w,) for w in NO_TERM], "plain string"))  # 3 x 27 rows
+    none = own.select("field").distinct().withColumn("plain", F.explode(F.array(*map(F.lit, NO_TERM))))
     # A name that two terms of a field share goes to the smaller id.
     return spelled.unionByName(none.select("field", F.lit(0).alias("term_id"), "plain")).groupBy("field", "plain").agg(F.max("term_id").alias("term_id"))
 
