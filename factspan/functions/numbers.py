@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def c_general(v: Column) -> Column:
     """What C's %g prints: six significant digits, no trailing zeros, an exponent below -4 and from 6 on.
 
-    Null for null, nan and inf as words.
+    Null for null, nan and inf as words. Rounding starts from the shortest decimal form, as the JVM does, so subnormal
+    numbers and exact ties in the seventh digit can differ in the last digit.
     """
     sci = F.format_string("%.5e", v)
     mantissa, power = F.regexp_extract(sci, r"^(-?[\d.]+)e", 1), F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factspan.functions import numbers, text, units
@@ -188,8 +189,9 @@ SELECT parser, label, CAST(g.tp AS BIGINT) AS tp, CAST(g.miss AS BIGINT) AS miss
 def q_grand_totals(spark, d):
     m = _matrix_keys(spark, d)
     g = m.rollup("parser", "label").agg(F.sum("tp").alias("tp"), F.sum(F.col("gt_total") - F.col("tp")).alias("miss"))
-    total = m.agg(F.sum(F.col("gt_total") - F.col("tp")).alias("all_miss"))
-    return g.join(F.broadcast(total)).select("parser", "label", "tp", "miss", F.round(F.try_divide(100.0 * F.col("miss"), F.col("all_miss")), 6).alias("pct_of_misses"))  # total: one row
+    # the rollup's own last row is the grand total; the window runs over the groups, not over the rows
+    g = g.withColumn("all_miss", F.max(F.when(F.col("parser").isNull() & F.col("label").isNull(), F.col("miss"))).over(W.partitionBy()))
+    return g.select("parser", "label", "tp", "miss", F.round(F.try_divide(100.0 * F.col("miss"), F.col("all_miss")), 6).alias("pct_of_misses"))
 
 
 @query("""SELECT lower(trim(parser)) AS parser, count(*) AS n, count(*) FILTER (hit) AS covered, count(*) FILTER (dist) AS n_distinctive, count(*) FILTER (hit AND dist) AS covered_distinctive
@@ -291,8 +293,6 @@ def q_budget_gate(spark, d):
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS s FROM events WHERE event_type = 'purchase' GROUP BY 1),
 c AS (SELECT day, sum(s) OVER (ORDER BY day) AS total FROM d) SELECT CAST(day AS VARCHAR) AS day, round(total - coalesce(lag(total) OVER (ORDER BY day), 0), 4) AS delta FROM c""")
 def q_spend_delta(spark, d):
-    from pyspark.sql import Window as W
-
     s = _spend(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("s"))
     c = s.withColumn("total", F.sum("s").over(W.orderBy("day")))  # one row per day
     return c.select(F.col("day").cast("string").alias("day"), F.round(F.col("total") - F.coalesce(F.lag("total").over(W.orderBy("day")), F.lit(0.0)), 4).alias("delta"))
