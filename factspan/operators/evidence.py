@@ -49,7 +49,19 @@ def pinned(spans: Column, value: Column) -> Column:
     return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.when((F.length(digits) >= 2) & hit.isNotNull(), one).otherwise(union))
 
 
-def drop_reason(type_: Column, value_text: Column, value: Column, unit: Column, source_text: Column, is_object: Column) -> Column:
+def with_unit_fit(df: DataFrame) -> DataFrame:
+    """df with unit_fits: whether unit_label is the type's canonical unit.
+
+    Signatures are worked out once for each type and spelling met and joined back, null-safely, as spellings are few
+    and a signature is long to compute.
+    """
+    met = df.select(F.col("type").alias("_t"), F.col("unit_label").alias("_u")).distinct()
+    met = met.withColumn("unit_fits", units.units_match(F.col("_u"), units.canonical_unit(F.col("_t"))))
+    on = F.col("type").eqNullSafe(F.col("_t")) & F.col("unit_label").eqNullSafe(F.col("_u"))
+    return df.join(met, on, "left").drop("_t", "_u")
+
+
+def drop_reason(type_: Column, value_text: Column, value: Column, unit_fits: Column, source_text: Column, is_object: Column) -> Column:
     """Why an item is dropped, by the first guard that fails; null if it passes all.
 
     Order: an object; known class; resolvable evidence for measurements; the value's digits in the cited text; a
@@ -57,14 +69,13 @@ def drop_reason(type_: Column, value_text: Column, value: Column, unit: Column,
     that is present but no number is a schema error, so that it cannot pass as a legal null.
     """
     measurement = type_.isin(list(CANONICAL_UNIT))
-    canon = units.canonical_unit(type_)
     return (
         F.when(~is_object, F.lit("item is no object, expected dict"))
         .when(measurement & source_text.isNull(), F.concat(F.lit("no valid span citation for "), type_))
         .when(measurement & ~numbers.digits_inside(value, source_text), F.concat(F.lit("likely mis-citation for "), type_))
         .when(type_.isNull() | ~(measurement | type_.isin(OTHER_CLASSES)), F.lit("unknown class"))
         .when(value_text.isNotNull() & value.isNull(), F.lit("value is no number"))
-        .when(measurement & ~units.units_match(unit, canon), F.concat(F.lit("unit_label != canonical for "), type_))
+        .when(measurement & ~unit_fits, F.concat(F.lit("unit_label != canonical for "), type_))
         .when(measurement & ~units.magnitude_ok(type_, value), F.concat(F.lit("magnitude exceeds the plausible ceiling for "), type_))
     )
 
@@ -74,9 +85,9 @@ def guarded(items: DataFrame, spans: DataFrame) -> DataFrame:
 
     items: item_id, sha, parser, is_object, type, value_text, unit_label, confidence_text, span_ids.
     """
-    d = cited(items, spans).withColumn("value", F.col("value_text").try_cast("double"))
+    d = with_unit_fit(cited(items, spans)).withColumn("value", F.col("value_text").try_cast("double"))
     d = d.withColumn("evidence", pinned(F.col("cited"), F.col("value"))).drop("cited")
-    d = d.withColumn("drop_reason", drop_reason(F.col("type"), F.col("value_text"), F.col("value"), F.col("unit_label"), F.col("evidence.source_text"), F.col("is_object")))
+    d = d.withColumn("drop_reason", drop_reason(F.col("type"), F.col("value_text"), F.col("value"), F.col("unit_fits"), F.col("evidence.source_text"), F.col("is_object"))).drop("unit_fits")
     milli = units.rederived_milli(F.col("value"), units.canonical_unit(F.col("type")), F.col("evidence.source_text"))
     d = d.withColumn("value", F.when(F.col("drop_reason").isNull(), milli).otherwise(F.col("value")))
     return d.withColumn("confidence", numbers.salvaged_confidence(F.col("confidence_text")))

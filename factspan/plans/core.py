@@ -542,8 +542,9 @@ g AS (SELECT f.type, coalesce(regexp_replace(format('{{:g}}', value), '[^0-9]',
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN t IS NULL THEN 'no valid span citation for ' || type WHEN length(vd) >= 2 AND NOT contains(regexp_replace(t, '[^0-9]', '', 'g'), vd) THEN 'likely mis-citation for ' || type
  WHEN NOT fits THEN 'unit_label != canonical for ' || type WHEN abs(value) > magnitude_ceiling THEN 'magnitude exceeds the plausible ceiling for ' || type END AS reason FROM g) GROUP BY 1""")
 def q_guard_chain(spark, d):
-    f = facts(spark, d).where("value is null or not isnan(value)")
-    r = evidence.drop_reason(F.col("type"), F.col("value").cast("string"), F.col("value"), F.col("unit_label"), F.col("evidence.source_text"), F.lit(True))
+    f = facts(spark, d).where("value is null or not isnan(value)").select("type", "value", "unit_label", "evidence.source_text")
+    f = evidence.with_unit_fit(f)
+    r = evidence.drop_reason(F.col("type"), F.col("value").cast("string"), F.col("value"), F.col("unit_fits"), F.col("source_text"), F.lit(True))
     return f.groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
 
 
