@@ -8,7 +8,8 @@ scripts compile into projections that bring every line into one table.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import pandas as pd
@@ -27,11 +28,15 @@ SKETCH = 64
 #: Share of common content from which a member counts as going on under another name.
 SAME_CONTENT = 0.5
 FILE = ["series", "file_date", "file_name"]
+_FILE = "series string, file_date timestamp, file_name string"
 #: Members of the common schema that get a column of their own.
 COMMON = [
     "type", "value", "unit_label", "condition.current_density", "condition.temperature_C",
     "condition.electrolyte.formula", "condition.electrolyte.concentration", "condition.electrolyte.electrolyte_ph",
 ]
+#: Where the members of a component stand.
+COMPONENT = "condition.electrolyte."
+_LEADING = re.compile(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 
 
 def kind_of(v: object) -> int:
@@ -240,21 +245,101 @@ def found(lines: DataFrame) -> DataFrame:
     return e.select("file_name", "change", "old_path", "new_path")
 
 
-def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _leaves(v: dict) -> Iterator[tuple[str, tuple[int, ...], object]]:
+    """(path, entry, value) of what is no object: entry holds the place in each list on the way, lists adding no name.
+
+    Lists of objects are taken apart, lists of plain values come whole; null is nothing.
+    """
+    stack: list[tuple[str, tuple[int, ...], object]] = [("", (), v)]
+    while stack:
+        path, entry, x = stack.pop()
+        if isinstance(x, dict) and x:
+            stack.extend((f"{path}.{k}" if path else k, entry, y) for k, y in x.items())
+        elif isinstance(x, list) and any(isinstance(y, dict) for y in x):
+            stack.extend((path, (*entry, i), y) for i, y in enumerate(x))
+        elif path and x is not None:
+            yield path, entry, x
+
+
+def _place(entry: tuple[int, ...]) -> tuple[int, ...]:
+    """entry without zeros at its end: the first entry stands for the list."""
+    while entry and not entry[-1]:
+        entry = entry[:-1]
+    return entry
+
+
+def _text(x: object) -> str:
+    return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+
+def _number(text: str | None) -> float | None:
+    m = _LEADING.search(text) if text is not None else None
+    return float(m.group(0)) if m else None
+
+
+def into_row(v: dict, common: Callable[[str], str]) -> tuple:
+    """The columns of consistent_table for one line, common giving the common path of each path of its file.
+
+    Nothing is left out: what finds its column taken, or stands in a further entry of a list, is in components or in
+    extra, there with its place in the list ([1] is the second) and, if two members meet, under its own path.
+    """
+    taken: dict[tuple[str, tuple[int, ...]], tuple[str, str]] = {}
+    rest: dict[str, str] = {}
+
+    def keep(path: str, entry: tuple[int, ...], text: str) -> None:
+        key = path + "".join(f"[{i}]" for i in entry)
+        n = 1
+        while (at := key if n == 1 else f"{key}#{n}") in rest:
+            n += 1
+        rest[at] = text
+
+    spread, seen = [], set()
+    for path, entry, x in _leaves(v):
+        to = common(path)
+        if to.startswith(COMPONENT):
+            seen.add(_place(entry))
+        many = enumerate(x) if isinstance(x, list) and to in COMMON else None
+        spread.extend((to != path, path, to, (*entry, i), y) for i, y in many if y is not None) if many else spread.append((to != path, path, to, entry, x))
+    for _, path, to, entry, x in sorted(spread, key=lambda r: r[:4]):
+        entry = _place(entry)
+        if to not in COMMON or (entry and not to.startswith(COMPONENT)):
+            keep(path if (to, entry) in taken else to, entry, _text(x))
+            taken.setdefault((to, entry), (path, ""))
+        elif (to, entry) in taken:
+            keep(path, entry, _text(x))
+        else:
+            taken[to, entry] = (path, _text(x))
+    at = lambda p, entry=(): taken.get((p, entry), ("", None))[1]
+    entries = sorted({e for p, e in taken if p in COMMON and p.startswith(COMPONENT)})
+    part = lambda e: {
+        "place": "".join(f"[{i}]" for i in e), "formula": at(COMPONENT + "formula", e), "concentration": _number(at(COMPONENT + "concentration", e)), "electrolyte_ph": _number(at(COMPONENT + "electrolyte_ph", e)),
+    }
+    first = part(min(seen, default=()))
+    return (
+        at("type"), _number(at("value")), at("unit_label"), _number(at("condition.current_density")), _number(at("condition.temperature_C")),
+        first["formula"], first["concentration"], first["electrolyte_ph"], [part(e) for e in entries], json.dumps(dict(sorted(rest.items())), ensure_ascii=False, separators=(",", ":")),
+    )
+
+
+_COLUMNS = {
+    "type": "string", "value": "double", "unit_label": "string", "current_density": "double", "temperature_c": "double", "formula": "string",
+    "concentration": "double", "electrolyte_ph": "double", "components": "array<struct<place: string, formula: string, concentration: double, electrolyte_ph: double>>", "extra": "string",
+}
+
+
+def _table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for key in b.itertuples(index=False):
-            v = readable(key.payload)
-            stack = [("", v)] if v is not None else []
-            while stack:
-                path, x = stack.pop()
-                if isinstance(x, dict) and x:
-                    stack.extend((f"{path}.{k}" if path else k, y) for k, y in x.items())
-                elif isinstance(x, list) and any(isinstance(y, dict) for y in x):
-                    stack.extend((path, y) for y in x)
-                elif path and x is not None:
-                    rows.append((key.line_id, key.series, key.file_date, key.file_name, path, x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)))
-        yield pd.DataFrame(rows, columns=["line_id", *FILE, "path", "val"])
+        which, rows = [], []
+        for i, (payload, pairs) in enumerate(zip(b["payload"], b["renames"])):
+            v = readable(payload)
+            if v is not None and any(True for _ in _leaves(v)):
+                to = {p["path"]: p["common"] for p in pairs} if pairs is not None else {}
+                which.append(i)
+                rows.append(into_row(v, lambda p: to.get(p, p)))  # noqa: B023
+        out = b[["line_id", *FILE]].iloc[which].reset_index(drop=True)
+        for n, c in enumerate(_COLUMNS):
+            out[c] = pd.Series([r[n] for r in rows], dtype=object)
+        yield out
 
 
 def projections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,29 +364,24 @@ def projections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def consistent_table(lines: DataFrame) -> DataFrame:
-    """One table of all readable lines: line_id, file, the members of the common schema, the rest as JSON in extra.
+    """One table of all readable lines: line_id, file, the members of the common schema, components, the rest in extra.
 
     Every file's projection is its edit scripts compiled to a map from its own paths to the common ones (per file and
-    path, at most its members), joined to the leaves of its lines. Retyped members are brought to one type by
-    try_cast of their leading number; a list is read by its first entry. A line delivered twice comes once.
+    path, at most its members), joined to its lines. Retyped members are brought to one type by their leading number.
+    components has every electrolyte component in the order of the list, with its place as keys of extra write it;
+    formula, concentration and electrolyte_ph are those of the first that holds anything. extra is a JSON object of
+    all else. A line delivered twice comes once.
     """
     s, names = projections(lines)
-    paths = s.select(*FILE, F.explode("members.path").alias("path")).select("path").distinct()
-    parts = paths.select("path", F.posexplode(F.split("path", r"\.")).alias("i", "name")).join(names, "name", "left")
+    own = s.select(*FILE, F.explode("members.path").alias("path"))
+    parts = own.select("path").distinct().select("path", F.posexplode(F.split("path", r"\.")).alias("i", "name")).join(names, "name", "left")
     to = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("as", "name").alias("n")))), lambda x: x["n"]), ".").alias("common"))
-    leaves = lines.select("line_id", *FILE, "payload").mapInPandas(_leaves, "line_id long, series string, file_date timestamp, file_name string, path string, val string")
-    flat = leaves.join(to, "path").groupBy("line_id", *FILE, "common").agg(F.min("val").alias("val"))
-    text = lambda p: F.max(F.when(F.col("common") == p, F.col("val")))
-    number = lambda p: F.regexp_extract(text(p), r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?", 0).try_cast("double")
-    rest = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("common").isin(COMMON), F.struct("common", "val"))))))
-    return flat.groupBy("line_id", *FILE).agg(
-        text("type").alias("type"),
-        number("value").alias("value"),
-        text("unit_label").alias("unit_label"),
-        number("condition.current_density").alias("current_density"),
-        number("condition.temperature_C").alias("temperature_c"),
-        text("condition.electrolyte.formula").alias("formula"),
-        number("condition.electrolyte.concentration").alias("concentration"),
-        number("condition.electrolyte.electrolyte_ph").alias("electrolyte_ph"),
-        rest.alias("extra"),
-    )
+    renames = own.join(to.where("path <> common"), "path").groupBy(*FILE).agg(F.collect_list(F.struct("path", "common")).alias("renames"))
+    return _joined(lines, renames).mapInPandas(_table_rows, f"line_id long, {_FILE}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())).distinct()
+
+
+def _joined(lines: DataFrame, of_files: DataFrame) -> DataFrame:
+    """line_id, file, payload of all lines with what of_files has for their file, null if nothing."""
+    f = of_files.select(*(F.col(c).alias(f"of_{c}") for c in FILE), *(c for c in of_files.columns if c not in FILE))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in FILE]
+    return lines.select("line_id", *FILE, "payload").join(f, same, "left").drop(*(f"of_{c}" for c in FILE))

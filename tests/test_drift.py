@@ -61,3 +61,20 @@ def test_assignment_is_cheapest():
     new = {"c": (2, {1, 2}), "d": (2, {3, 1, 2})}
     got = {c[:3] for c in D.edit_script(old, new)}
     assert {c[0] for c in got} == {"renamed"} and len(got) == 2
+
+
+def test_every_component_is_kept(spark):
+    one, two = {"formula": "KOH", "concentration": 0.1}, {"formula": "K2HPO4", "concentration": 0.5, "flow": 3}
+    mixed = [item(), item(), item(formula="KOH"), item(formula=["KOH", "LiOH"])]
+    mixed[0]["condition"]["electrolyte"] = [two, one]
+    mixed[1]["condition"]["electrolyte"] = [one, {"formula": "A"}, two]
+    got = {r.line_id: r for r in D.consistent_table(lines(spark, [("s1", 0, mixed)])).collect()}
+    parts = {k: [(c.formula, c.concentration) for c in r.components] for k, r in got.items()}
+    assert parts == {0: [("K2HPO4", 0.5), ("KOH", 0.1)], 1: [("KOH", 0.1), ("A", None), ("K2HPO4", 0.5)], 2: [("KOH", None)], 3: [("KOH", None), ("LiOH", None)]}
+    assert (got[0].formula, got[0].concentration) == ("K2HPO4", 0.5) and (got[1].formula, got[1].concentration) == ("KOH", 0.1)
+    assert json.loads(got[0].extra) == {"condition.electrolyte.flow": "3"} and json.loads(got[1].extra) == {"condition.electrolyte.flow[2]": "3"}
+
+
+def test_two_members_of_one_common_name_are_both_kept():
+    row = D.into_row({"unit_label": "V", "unit": "mV", "label": "A", "notes": [{"t": "a"}, {"t": "b"}]}, lambda p: {"unit": "unit_label", "label": "unit_label"}.get(p, p))
+    assert row[2] == "V" and json.loads(row[-1]) == {"unit": "mV", "label": "A", "notes.t": "a", "notes.t[1]": "b"}
