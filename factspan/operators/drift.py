@@ -330,7 +330,7 @@ _COLUMNS = {
 def _table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         which, rows = [], []
-        for i, (payload, pairs) in enumerate(zip(b["payload"], b["renames"])):
+        for i, (payload, pairs) in enumerate(zip(b["payload"], b["names"])):
             v = readable(payload)
             if v is not None and any(True for _ in _leaves(v)):
                 to = {p["path"]: p["common"] for p in pairs} if pairs is not None else {}
@@ -342,42 +342,142 @@ def _table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def projections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(schemas, names): names maps each renamed member name to the one name used for it everywhere.
+#: Members of the common schema and what holds them.
+_COMMON_NODES = {p.rsplit(".", n)[0] for p in COMMON for n in range(p.count(".") + 1)}
 
-    Renames of all files make a graph on (parent-free) member names, whose size is the vocabulary of names, not the
-    data. Each name takes the name it can reach that the common schema has, else the one used in most files; three rounds of taking over the neighbour's
-    better name settle chains of up to eight renames.
+
+def _rank(path: str) -> tuple[bool, int]:
+    """How much a path tells of the common schema: whether it is a member, else how far it leads into it."""
+    parts = path.split(".")
+    return path in COMMON, sum(".".join(parts[: n + 1]) in _COMMON_NODES for n in range(len(parts)))
+
+
+def _resolve(names: dict[str, str], path: str) -> str:
+    """path with its longest beginning that names knows replaced."""
+    head, tail = path, ""
+    while head:
+        if head in names:
+            return names[head] + tail
+        head, _, last = head.rpartition(".")
+        tail = f".{last}{tail}"
+    return path
+
+
+def common_path(forward: dict[str, str], backward: dict[str, str], path: str) -> str:
+    """The common path of a path of one file: itself, what it was before or what it becomes later, the nearest of these
+    that is in the common schema; if none is, what leads furthest into it, the earliest name first."""
+    if path in COMMON:
+        return path
+    return max(_resolve(forward, path), _resolve(backward, path), key=_rank)
+
+
+def compose(names: dict[str, str], pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """names after the renames and moves (from, to) of one script: what each path went by best, seen from the other end.
+
+    A member of the common schema keeps its own name; a removed member keeps what is known of its path, as optional
+    members come and go. Members below a renamed one go with it.
+    """
+    once: dict[str, str] = {}
+    for a, b in sorted(pairs):
+        if a not in once and b not in once.values():
+            once[a] = b
+    out, arriving = {}, tuple(f"{b}." for b in once.values())
+    moved = {}
+    for path, name in names.items():
+        to = _resolve(once, path)
+        if to != path:
+            moved[to] = name
+        elif path not in once.values() and not path.startswith(arriving):  # else it is another member of that name, gone before
+            out[path] = name
+    out |= moved
+    for a, b in once.items():
+        out[b] = b if b in COMMON else max(_resolve(names, a), b, key=_rank)
+    return out
+
+
+_PAIRS = "array<struct<path: string, common: string>>"
+_NAMES = f"{_FILE}, pairs {_PAIRS}, forward {_PAIRS}, backward {_PAIRS}"
+
+
+def _walk(back: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Follows the scripts of each series through its files, which come in order (from the last if back)."""
+    column = "backward" if back else "forward"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series: object = run  # no series yet; what is carried from batch to batch is the names of one file
+        names: dict[str, str] = {}
+        for b in batches:
+            out = []
+            for s, pairs in zip(b["series"], b["pairs"]):
+                if s != series:
+                    series, names = s, {}
+                pairs = [(p["path"], p["common"]) for p in pairs] if pairs is not None else []
+                if not back:
+                    names = compose(names, pairs) if pairs else names
+                out.append([{"path": p, "common": c} for p, c in names.items()])
+                if back:
+                    names = compose(names, [(y, x) for x, y in pairs]) if pairs else names
+            yield b.assign(**{column: pd.Series(out, index=b.index, dtype=object)})[[*FILE, "pairs", "forward", "backward"]]
+
+    return run
+
+
+def _own_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tree = lambda ps: {p["path"]: p["common"] for p in ps}
+    for b in batches:
+        rows = []
+        for s, d, f, ahead, back, paths in zip(b["series"], b["file_date"], b["file_name"], b["forward"], b["backward"], b["paths"]):
+            before, later = tree(ahead), tree(back)
+            rows.extend((s, d, f, p, common_path(before, later, p)) for p in paths)
+        yield pd.DataFrame(rows, columns=[*FILE, "path", "own"])
+
+
+def projections(lines: DataFrame) -> DataFrame:
+    """series, file_date, file_name, path, common: what each path of each file is called in the common table.
+
+    Renames and moves of the scripts are composed along each series, on full paths; two passes over the files in order
+    carry no more than the names of one file, so any number of renames in a row is followed. Only a path that its own
+    series never ties to the common schema (the series opens with it, or the member was missing in the file between)
+    is read as most of the other series have it, where the file has no other member of that name.
     """
     s = staged(file_schemas(lines))
-    e = edit_scripts(lines, s).where("change = 'renamed'")
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    pairs = e.select(last(F.col("old_path")).alias("a"), last(F.col("new_path")).alias("b")).distinct()
-    used = s.select(F.explode("members.path").alias("p")).groupBy(last(F.col("p")).alias("name")).agg(F.count("*").alias("files"))
-    ours = F.col("name").isin([x for p in COMMON for x in p.split(".")])
-    best = used.select("name", F.struct(ours.alias("ours"), "files", F.col("name").alias("as")).alias("top"))
-    edge = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    for _ in range(3):
-        near = edge.join(best, edge.b == best.name).select(F.col("a").alias("name"), "top")
-        best = staged(best.unionByName(near).groupBy("name").agg(F.max("top").alias("top")))
-    return s, best.where("name <> top.as").select("name", F.col("top.as").alias("as"))
+    e = edit_scripts(lines, s).where("change in ('renamed', 'moved')")
+    changes = e.groupBy(*FILE).agg(F.collect_list(F.struct(F.col("old_path").alias("path"), F.col("new_path").alias("common"))).alias("pairs"))
+    none = F.lit(None).cast(_PAIRS)
+    files = s.select(*FILE).join(changes, FILE, "left").withColumn("forward", none).withColumn("backward", none)
+    ahead = files.repartition("series").sortWithinPartitions("series", "file_date", "file_name").mapInPandas(_walk(False), _NAMES)
+    down = [F.col("series"), F.col("file_date").desc(), F.col("file_name").desc()]
+    both = ahead.repartition("series").sortWithinPartitions(*down).mapInPandas(_walk(True), _NAMES).drop("pairs")
+    paths = s.select(*FILE, F.col("members.path").alias("paths"))
+    own = staged(both.join(paths, FILE).mapInPandas(_own_paths, f"{_FILE}, path string, own string"))
+    known = own.where(F.col("own").isin(COMMON))
+    nodes = sorted(_COMMON_NODES)
+    votes = own.where(F.col("own").isin(nodes) & ~F.col("path").isin(nodes)).groupBy("path", "own").agg(F.count_distinct("series").alias("n"))
+    most = votes.groupBy("path").agg(F.max_by("own", F.struct("n", "own")).alias("node"), F.max("n").alias("top"), F.sum("n").alias("all")).where("2 * top > all")
+    most = staged(most.select(F.col("path").alias("head"), "node"))
+    open_ = own.where(~F.col("own").isin(COMMON))
+    words = open_.select("path").distinct().withColumn("other", F.col("path"))
+    for _ in range(3):  # each round ends one level deeper in the common schema, which has three
+        heads = words.withColumn("head", F.explode(F.expr("transform(sequence(1, size(split(other, '[.]'))), n -> array_join(slice(split(other, '[.]'), 1, n), '.'))")))
+        near = heads.join(most, "head").groupBy("path").agg(F.max_by(F.struct("head", "node"), F.length("head")).alias("m"))
+        words = words.join(near, "path", "left").select("path", F.coalesce(F.concat("m.node", F.expr("substring(other, length(m.head) + 1)")), F.col("other")).alias("other"))
+    open_ = open_.join(words.where(F.col("other").isin(COMMON)), "path", "left")
+    filled = known.select(*FILE, F.col("own").alias("other")).distinct().withColumn("filled", F.lit(True))
+    rest = open_.join(filled, [*FILE, "other"], "left").withColumn("own", F.coalesce(F.when(F.col("filled").isNull(), F.col("other")), F.col("own")))
+    return known.unionByName(rest.select(*FILE, "path", "own")).withColumnRenamed("own", "common")
 
 
 def consistent_table(lines: DataFrame) -> DataFrame:
     """One table of all readable lines: line_id, file, the members of the common schema, components, the rest in extra.
 
-    Every file's projection is its edit scripts compiled to a map from its own paths to the common ones (per file and
-    path, at most its members), joined to its lines. Retyped members are brought to one type by their leading number.
+    Every file's projection is the scripts of its series compiled to a map from its own paths to the common ones (per
+    file and path, at most its members), joined to its lines. Retyped members are brought to one type by their leading number.
     components has every electrolyte component in the order of the list, with its place as keys of extra write it;
     formula, concentration and electrolyte_ph are those of the first that holds anything. extra is a JSON object of
     all else. A line delivered twice comes once.
     """
-    s, names = projections(lines)
-    own = s.select(*FILE, F.explode("members.path").alias("path"))
-    parts = own.select("path").distinct().select("path", F.posexplode(F.split("path", r"\.")).alias("i", "name")).join(names, "name", "left")
-    to = parts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("as", "name").alias("n")))), lambda x: x["n"]), ".").alias("common"))
-    renames = own.join(to.where("path <> common"), "path").groupBy(*FILE).agg(F.collect_list(F.struct("path", "common")).alias("renames"))
-    return _joined(lines, renames).mapInPandas(_table_rows, f"line_id long, {_FILE}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())).distinct()
+    names = projections(lines).where("path <> common").groupBy(*FILE).agg(F.collect_list(F.struct("path", "common")).alias("names"))
+    return _joined(lines, names).mapInPandas(_table_rows, f"line_id long, {_FILE}, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())).distinct()
 
 
 def _joined(lines: DataFrame, of_files: DataFrame) -> DataFrame:

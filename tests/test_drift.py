@@ -78,3 +78,26 @@ def test_every_component_is_kept(spark):
 def test_two_members_of_one_common_name_are_both_kept():
     row = D.into_row({"unit_label": "V", "unit": "mV", "label": "A", "notes": [{"t": "a"}, {"t": "b"}]}, lambda p: {"unit": "unit_label", "label": "unit_label"}.get(p, p))
     assert row[2] == "V" and json.loads(row[-1]) == {"unit": "mV", "label": "A", "notes.t": "a", "notes.t[1]": "b"}
+
+
+def test_projections_are_of_their_series_and_path(spark):
+    names = ["formula", "salt", "salt_b", "salt_c", "salt_d", "salt_e"]
+    long = [(f"s{k}", k, [item(**{n: "KOH", "concentration": 0.1})]) for k, n in enumerate(names)]
+    late = [("u0", 0, [item(x="KOH")]), ("u1", 1, [item(y="KOH")]), ("u2", 2, [item(formula="KOH")])]
+    other = [("t0", 0, [{"type": "a", "salt": "NaCl", "condition": {"electrolyte": {"salt": "x", "formula": "HCl"}}}])]
+    other += [("v0", 0, [{"type": "a", "salt": "NaCl", "condition": {"electrolyte": {"salt_b": "KOH"}}}])]
+    moved = [("m0", 0, [{"type": "a", "condition": {"temperature_C": 25}}]), ("m1", 1, [{"type": "a", "temperature_C": 25, "condition": {"z": 1}}])]
+    got = {r.file_name: r for r in D.consistent_table(lines(spark, [*long, *late, *other, *moved])).collect()}
+    assert {got[f"s{k}"].formula for k in range(6)} == {got[f"u{k}"].formula for k in range(3)} == {"KOH"}
+    assert got["v0"].formula == "KOH" and json.loads(got["v0"].extra) == {"salt": "NaCl"}  # as all other series have it
+    assert got["t0"].formula == "HCl" and json.loads(got["t0"].extra) == {"salt": "NaCl", "condition.electrolyte.salt": "x"}
+    assert got["m0"].temperature_c == got["m1"].temperature_c == 25
+
+
+def test_renames_compose():
+    f = D.compose({}, [("condition.medium", "condition.electrolyte")])
+    assert D.common_path(f, {}, "condition.electrolyte.formula") == "condition.electrolyte.formula"
+    f = D.compose({"condition.electrolyte.salt": "condition.electrolyte.formula"}, [("condition.electrolyte", "condition.medium")])
+    assert D.common_path(f, {}, "condition.medium.salt") == "condition.electrolyte.formula" and D.common_path(f, {}, "condition.medium.x") == "condition.electrolyte.x"
+    assert D.compose({"a": "value", "b": "type"}, [("a", "b"), ("b", "a")]) == {"a": "type", "b": "value"}
+    assert D.compose({}, [("unit_label", "type")]) == {"type": "type"}
