@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 from factspan.session import staged
 
 STRING, NUMBER, BOOLEAN, OBJECT, ARRAY = 1, 2, 4, 8, 16
-#: Distinct values of a member that are kept as its content: those with the smallest hashes, so that samples of two
-#: files agree on which values they keep.
+#: Distinct values of a member that are kept with its schema: those with the smallest hashes. Members with fewer are
+#: compared by these, others by all of their content (_exact_likeness).
 SKETCH = 64
 #: Share of common content from which a member counts as going on under another name.
 SAME_CONTENT = 0.5
@@ -168,15 +168,38 @@ def _assign(old: list[str], new: list[str], like: dict[tuple[str, str], float])
     return done
 
 
-def edit_script(old: dict[str, tuple[int, set]], new: dict[str, tuple[int, set]]) -> list[tuple[str, str, str, float]]:
+def _unsure(old: dict[str, tuple[int, set]], new: dict[str, tuple[int, set]]) -> list[tuple[str, str]]:
+    """(old path, new path) of what edit_script may compare and sketches cannot tell, one of them being full."""
+    gone, come = [p for p in old if p not in new], [p for p in new if p not in old]
+    by: dict[tuple[bool, str], list[str]] = {}
+    for p in come:
+        head, _, name = p.rpartition(".")
+        by.setdefault((True, head), []).append(p)
+        by.setdefault((False, name), []).append(p)
+    out = set()
+    for p in gone:
+        head, _, name = p.rpartition(".")
+        for q in {*by.get((True, head), ()), *by.get((False, name), ())}:
+            (k, a), (m, b) = old[p], new[q]
+            if (not k or not m or k == m) and a and b and max(len(a), len(b)) >= SKETCH:
+                out.add((p, q))
+    return sorted(out)
+
+
+def edit_script(
+    old: dict[str, tuple[int, set]], new: dict[str, tuple[int, set]], exact: dict[tuple[str, str], float] | None = None
+) -> list[tuple[str, str, str, float]]:
     """(change, old path, new path, cost) of the cheapest script from one schema to the next.
 
     Children of equal names are matched; a different kind is a retype (1). Others are matched by content as renames
     (1 - likeness of content, same kind), else they are removed and added (1 each). What lies below a member that was
     itself changed is not looked at. A removed and an added subtree in different places with the same name and content
-    are reported once more as a move.
+    are reported once more as a move. exact has the likeness of pairs whose content is known beyond its sketch.
     """
 
+    def likeness(x: str, y: str) -> float:
+        return exact[x, y] if exact and (x, y) in exact else _likeness(old[x], new[y])
+
     def children(tree: dict) -> dict[str, list[str]]:
         below: dict[str, list[str]] = {}
         for p in tree:
@@ -194,7 +217,7 @@ def edit_script(old: dict[str, tuple[int, set]], new: dict[str, tuple[int, set]]
                 out.append(("retyped", at(n), at(n), 1.0))
             else:
                 step(at(n))
-        like = {(x, y): _likeness(old[at(x)], new[at(y)]) for x in a - b for y in b - a}
+        like = {(x, y): likeness(at(x), at(y)) for x in a - b for y in b - a}
         pairs = _assign(sorted(a - b), sorted(b - a), like)
         for x, y in pairs:
             out.append(("renamed", at(x), at(y), 1 - like[x, y]))
@@ -206,7 +229,7 @@ def edit_script(old: dict[str, tuple[int, set]], new: dict[str, tuple[int, set]]
     for c in [c for c in out if c[0] == "added"]:
         for g in gone:
             name = c[2].rpartition(".")[2]
-            if g[1].rpartition(".")[2] == name and _likeness(old[g[1]], new[c[2]]) >= SAME_CONTENT:
+            if g[1].rpartition(".")[2] == name and likeness(g[1], c[2]) >= SAME_CONTENT:
                 out.append(("moved", g[1], c[2], 1.0))
     return out
 
@@ -218,10 +241,56 @@ _SCRIPT = T.ArrayType(
 )
 
 
+def _tree(members: object) -> dict[str, tuple[int, set]]:
+    return {m["path"]: (m["kinds"], set(m["content"])) for m in members}
+
+
 @F.pandas_udf(_SCRIPT)
-def _scripts(old: pd.Series, new: pd.Series) -> pd.Series:
-    tree = lambda ms: {m["path"]: (m["kinds"], set(m["content"])) for m in ms}
-    return pd.Series([[dict(zip(("change", "old_path", "new_path", "cost"), c)) for c in edit_script(tree(a), tree(b))] for a, b in zip(old, new)])
+def _scripts(old: pd.Series, new: pd.Series, exact: pd.Series) -> pd.Series:
+    known = lambda xs: {(x["old_path"], x["new_path"]): x["likeness"] for x in xs} if xs is not None else None
+    names = ("change", "old_path", "new_path", "cost")
+    return pd.Series([[dict(zip(names, c)) for c in edit_script(_tree(a), _tree(b), known(x))] for a, b, x in zip(old, new, exact)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("old_path", T.StringType()), T.StructField("new_path", T.StringType())])))
+def _unsure_pairs(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([[{"old_path": p, "new_path": q} for p, q in _unsure(_tree(a), _tree(b))] for a, b in zip(old, new)])
+
+
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every distinct mark of the wanted members of a batch's lines."""
+    for b in batches:
+        rows = set()
+        for s, d, f, p, wanted in zip(b["series"], b["file_date"], b["file_name"], b["payload"], b["wanted"]):
+            v = readable(p)
+            if v is not None:
+                own: dict[str, list] = {}
+                _observe(v, "", [], own)
+                rows.update((s, d, f, w, m) for w in wanted if w in own for m in own[w][1])
+        yield pd.DataFrame(list(rows), columns=[*FILE, "path", "mark"])
+
+
+_EXACT = "array<struct<old_path: string, new_path: string, likeness: double>>"
+
+
+def _exact_likeness(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """series, file_date, file_name, exact: likeness of each pair by all of its content, counted in Spark.
+
+    Only the files of pairs are read again, and of them only the members concerned.
+    """
+    was = pairs.select("series", F.col("prev_date").alias("file_date"), F.col("prev_name").alias("file_name"), F.col("old_path").alias("path"))
+    now = pairs.select(*FILE, F.col("new_path").alias("path"))
+    wanted = was.unionByName(now).distinct().groupBy(*FILE).agg(F.collect_list("path").alias("wanted"))
+    marks = lines.select(*FILE, "payload").join(wanted, FILE).mapInPandas(_contents, f"{_FILE}, path string, mark long").distinct()
+    marks = staged(marks)
+    key = [*FILE, "old_path", "new_path"]
+    before = marks.select("series", F.col("file_date").alias("prev_date"), F.col("file_name").alias("prev_name"), F.col("path").alias("old_path"), "mark")
+    a = pairs.join(before, ["series", "prev_date", "prev_name", "old_path"]).select(*key, "mark", F.lit(1).alias("side"))
+    b = pairs.join(marks.withColumnRenamed("path", "new_path"), [*FILE, "new_path"]).select(*key, "mark", F.lit(2).alias("side"))
+    each = a.unionByName(b).groupBy(*key, "mark").agg(F.bit_or("side").alias("side"))
+    n = each.groupBy(*key).agg(F.expr("count_if(side = 3)").alias("common"), F.expr("count_if(side <> 2)").alias("x"), F.expr("count_if(side <> 1)").alias("y"))
+    like = F.struct("old_path", "new_path", (F.col("common") / F.least("x", "y")).alias("likeness"))
+    return n.groupBy(*FILE).agg(F.collect_list(like).alias("exact"))
 
 
 def edit_scripts(lines: DataFrame, keep_schemas: DataFrame | None = None) -> DataFrame:
@@ -229,6 +298,7 @@ def edit_scripts(lines: DataFrame, keep_schemas: DataFrame | None = None) -> Dat
 
     Files of a series are ordered by date, then name, however late they arrive. Which file precedes which is found on
     the keys alone; the schemas are joined to it afterwards, so no series is gathered in one task with its content.
+    Where a sketch is full, the members to be compared are read again and compared by all of their content.
     """
     s = keep_schemas if keep_schemas is not None else staged(file_schemas(lines))
     order = W.partitionBy("series").orderBy("file_date", "file_name")
@@ -236,7 +306,14 @@ def edit_scripts(lines: DataFrame, keep_schemas: DataFrame | None = None) -> Dat
     chain = chain.where(F.col("prev_name").isNotNull())
     prev = s.select("series", F.col("file_date").alias("prev_date"), F.col("file_name").alias("prev_name"), F.col("members").alias("before"))
     both = chain.join(prev, ["series", "prev_date", "prev_name"]).join(s, FILE)
-    return both.select(*FILE, F.explode(_scripts("before", "members")).alias("c")).select(*FILE, "c.*")
+    full = F.exists("members", lambda m: F.size(m["content"]) >= SKETCH) | F.exists("before", lambda m: F.size(m["content"]) >= SKETCH)
+    pairs = both.where(full).select(*FILE, "prev_date", "prev_name", F.explode(_unsure_pairs("before", "members")).alias("p")).select("*", "p.*").drop("p")
+    pairs = staged(pairs)
+    if pairs.isEmpty():  # all content fits its sketch
+        both = both.withColumn("exact", F.lit(None).cast(_EXACT))
+    else:
+        both = both.join(_exact_likeness(lines, pairs), FILE, "left")
+    return both.select(*FILE, F.explode(_scripts("before", "members", "exact")).alias("c")).select(*FILE, "c.*")
 
 
 def found(lines: DataFrame) -> DataFrame:

@@ -101,3 +101,13 @@ def test_renames_compose():
     assert D.common_path(f, {}, "condition.medium.salt") == "condition.electrolyte.formula" and D.common_path(f, {}, "condition.medium.x") == "condition.electrolyte.x"
     assert D.compose({"a": "value", "b": "type"}, [("a", "b"), ("b", "a")]) == {"a": "type", "b": "value"}
     assert D.compose({}, [("unit_label", "type")]) == {"type": "type"}
+
+
+def test_renames_between_files_of_unequal_size(spark):
+    small = [{"type": "a", "p": f"v{i}", "n": f"x{i}"} for i in range(10)]
+    large = [{"type": "a", "q": f"v{i}", "m": f"y{i}"} for i in range(1000)]
+    got = {tuple(r) for r in D.found(lines(spark, [("s1", 0, small), ("s2", 1, large), ("s3", 2, small[:5])])).collect()}
+    assert got == {
+        ("s2", "renamed", "p", "q"), ("s2", "removed", "n", ""), ("s2", "added", "", "m"),
+        ("s3", "renamed", "q", "p"), ("s3", "removed", "m", ""), ("s3", "added", "", "n"),
+    }
