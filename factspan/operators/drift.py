@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import permutations
 
 import pandas as pd
 import xxhash
@@ -147,25 +146,39 @@ def _likeness(a: tuple[int, set], b: tuple[int, set]) -> float:
 def _assign(old: list[str], new: list[str], like: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
     """Pairs of old and new names of the least total cost, a rename costing 1 - likeness, a delete or an add 1 each.
 
-    Exact for up to six candidates a side, by falling likeness beyond that.
+    Exact for any number of names (Hungarian method); a pair too unlike to be a rename gains nothing and is left out.
     """
-    pairs = sorted(((s, a, b) for (a, b), s in like.items() if s >= SAME_CONTENT), reverse=True)
-    a_in, b_in = sorted({p[1] for p in pairs}), sorted({p[2] for p in pairs})
-    if 0 < len(a_in) <= 6 and len(b_in) <= 6:
-        short, long_, flip = (a_in, b_in, False) if len(a_in) <= len(b_in) else (b_in, a_in, True)
-        best: tuple[float, list] = (-1.0, [])
-        for order in permutations(long_, len(short)):
-            got = [(y, x) if flip else (x, y) for x, y in zip(short, order)]
-            got = [g for g in got if like.get(g, 0) >= SAME_CONTENT]
-            gain = sum(1 + like[g] for g in got)
-            if gain > best[0] + 1e-9:
-                best = (gain, got)
-        return best[1]
-    done: list[tuple[str, str]] = []
-    for _, a, b in pairs:
-        if all(a != x and b != y for x, y in done):
-            done.append((a, b))
-    return done
+    gain = {p: 1 + s for p, s in like.items() if s >= SAME_CONTENT}
+    rows, cols = sorted({p[0] for p in gain}), sorted({p[1] for p in gain})
+    if len(rows) > len(cols):
+        return sorted((x, y) for y, x in _assign(new, old, {(y, x): s for (x, y), s in like.items()}))
+    n, m = len(rows), len(cols)
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j] = True
+            at, delta, to = row_of[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    cost = -gain.get((rows[at - 1], cols[k - 1]), 0.0) - u[at] - v[k]
+                    if cost < least[k]:
+                        least[k], way[k] = cost, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+            if not row_of[j]:
+                break
+        while j:
+            row_of[j], j = row_of[way[j]], way[j]
+    return sorted(p for k in range(1, m + 1) if row_of[k] and (p := (rows[row_of[k] - 1], cols[k - 1])) in gain)
 
 
 def _unsure(old: dict[str, tuple[int, set]], new: dict[str, tuple[int, set]]) -> list[tuple[str, str]]:

@@ -1,7 +1,9 @@
 """Problem 2: edit scripts, late files, torn lines."""
 
 import json
+import random
 from datetime import datetime, timedelta
+from itertools import permutations
 
 from factspan.operators import drift as D
 
@@ -111,3 +113,16 @@ def test_renames_between_files_of_unequal_size(spark):
         ("s2", "renamed", "p", "q"), ("s2", "removed", "n", ""), ("s2", "added", "", "m"),
         ("s3", "renamed", "q", "p"), ("s3", "removed", "m", ""), ("s3", "added", "", "n"),
     }
+
+
+def test_assignment_is_cheapest_at_any_size():
+    a, b = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]
+    like = {(x, y): 0.0 for x in a for y in b} | {(x, y): 0.8 for x, y in zip(a, b)} | {(x, y): 0.9 for x, y in zip(a, b[1:])}
+    assert D._assign(a, b, like) == list(zip(a, b))  # by falling likeness: seven pairs, a7 and b0 left over
+    rnd = random.Random(5)
+    for _ in range(40):
+        n, m = rnd.randint(1, 5), rnd.randint(1, 5)
+        like = {(x, y): rnd.choice([0.0, 0.4, 0.5, 0.6, 0.75, 1.0]) for x in a[:n] for y in b[:m]}
+        value = lambda ps: sum(1 + like[p] for p in ps if like.get(p, 0) >= D.SAME_CONTENT)  # noqa: B023, E731
+        best = max(value(zip(xs, ys)) for xs in [a[:n]] for ys in permutations([*b[:m], *[""] * n], n))
+        assert abs(value(D._assign(a[:n], b[:m], like)) - best) < 1e-9
