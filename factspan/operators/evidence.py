@@ -49,6 +49,12 @@ def pinned(spans: Column, value: Column) -> Column:
     return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.when((F.length(digits) >= 2) & hit.isNotNull(), one).otherwise(union))
 
 
+def number_or_null(text: Column) -> Column:
+    """A value given as text as double; null for what is no number, NaN included."""
+    v = text.try_cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def with_unit_fit(df: DataFrame) -> DataFrame:
     """df with unit_fits: whether unit_label is the type's canonical unit.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Names in the SQL below that stand for a subquery.
+VIEWS: dict[str, str] = {}
+
+
 def query(sql: str | None = None) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = re.sub(r"\b[A-Z]+_VIEW\b", lambda m: VIEWS[m.group(0)], sql)
         return f
 
     return register
@@ -32,7 +37,15 @@ def _t(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: table(spark, d, name)
 
 
-facts, papers, matrix, cells_, docs, events = map(_t, ("facts", "papers", "matrix_rows", "extraction_cells", "documents", "events"))
+papers, matrix, cells_, docs, events = map(_t, ("papers", "matrix_rows", "extraction_cells", "documents", "events"))
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts with NaN as what it is, a missing value: null. The one rule for NaN of all queries here and their SQL."""
+    return table(spark, d, "facts").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+VIEWS["FACTS_VIEW"] = "(SELECT * REPLACE (CASE WHEN NOT isnan(value) THEN value END AS value) FROM facts)"
 
 
 def _parser(c: str = "parser") -> Column:
@@ -103,9 +116,9 @@ def q_parser_model_cells(spark, d):
 
 
 @query("""SELECT type, value, count(DISTINCT lower(trim(parser))) AS n, string_agg(DISTINCT lower(trim(parser)), ', ' ORDER BY lower(trim(parser))) AS parsers
- FROM facts WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY type, value HAVING count(DISTINCT lower(trim(parser))) > 1""")
+ FROM FACTS_VIEW WHERE value IS NOT NULL GROUP BY type, value HAVING count(DISTINCT lower(trim(parser))) > 1""")
 def q_parser_agreement(spark, d):
-    f = facts(spark, d).where("value is not null and not isnan(value)")
+    f = facts(spark, d).where("value is not null")
     g = f.groupBy("type", "value").agg(F.array_sort(F.collect_set(_parser())).alias("p"))  # at most five parsers
     return g.where("size(p) > 1").select("type", "value", F.size("p").cast("long").alias("n"), F.array_join("p", ", ").alias("parsers"))
 
@@ -198,20 +211,20 @@ def q_grand_totals(spark, d):
 FROM (SELECT parser, value <> floor(value) OR abs(value) >= 100 AS dist,
  regexp_matches(replace(t, ',', ''), '(^|[^0-9])' || replace(replace(format('{:g}', value), '.', '\\.'), '+', '\\+') || '([^0-9]|$)')
  OR (value = floor(value) AND abs(value) < 1e15 AND regexp_matches(replace(t, ',', ''), '(^|[^0-9])' || CAST(CAST(value AS BIGINT) AS VARCHAR) || '([^0-9]|$)')) AS hit
- FROM (SELECT parser, value, coalesce(evidence.source_text, '') AS t FROM facts WHERE value IS NOT NULL AND NOT isnan(value))) GROUP BY 1""")
+ FROM (SELECT parser, value, coalesce(evidence.source_text, '') AS t FROM FACTS_VIEW WHERE value IS NOT NULL)) GROUP BY 1""")
 def q_coverage(spark, d):
-    f = facts(spark, d).where("value is not null and not isnan(value)")
+    f = facts(spark, d).where("value is not null")
     f = f.select(_parser().alias("parser"), numbers.printed_in(F.col("value"), F.col("evidence.source_text")).alias("hit"), numbers.distinctive(F.col("value")).alias("dist"))
     one = lambda c: F.count_if(c)
     return f.groupBy("parser").agg(F.count("*").alias("n"), one(F.col("hit")).alias("covered"), one(F.col("dist")).alias("n_distinctive"), one(F.col("hit") & F.col("dist")).alias("covered_distinctive"))
 
 
-@query("""WITH v AS (SELECT DISTINCT type, value, lower(substr(sha, 1, 8)) AS sha8, lower(trim(parser)) AS parser FROM facts WHERE value IS NOT NULL AND NOT isnan(value)),
+@query("""WITH v AS (SELECT DISTINCT type, value, lower(substr(sha, 1, 8)) AS sha8, lower(trim(parser)) AS parser FROM FACTS_VIEW WHERE value IS NOT NULL),
 k AS (SELECT DISTINCT type, value, sha8 FROM v), p AS (SELECT unnest(['mineru', 'dots', 'paddle', 'docling', 'chandra']) AS parser)
 SELECT k.type, k.value, k.sha8, string_agg(p.parser, ',' ORDER BY p.parser) AS lacking FROM k, p
 WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.type = k.type AND v.value = k.value AND v.sha8 = k.sha8 AND v.parser = p.parser) GROUP BY 1, 2, 3""")
 def q_parsers_lacking(spark, d):
-    f = facts(spark, d).where("value is not null and not isnan(value)")
+    f = facts(spark, d).where("value is not null")
     g = f.groupBy("type", "value", F.lower(F.substring("sha", 1, 8)).alias("sha8")).agg(F.collect_set(_parser()).alias("have"))
     lack = F.array_sort(F.array_except(F.array(*map(F.lit, PARSERS)), "have"))
     return g.select("type", "value", "sha8", F.array_join(lack, ",").alias("lacking")).where("lacking <> ''")
@@ -261,13 +274,13 @@ def q_latest_export(spark, d):
     return latest.latest(_matrix_keys(spark, d).select("paper", "parser", "row_id", "recorded_at"), ["paper", "parser"], ["recorded_at", "row_id"])
 
 
-@query("SELECT min(fact_id) AS fact_id FROM facts GROUP BY type, value, unit_label, evidence.source_text")
+@query("SELECT min(fact_id) AS fact_id FROM FACTS_VIEW GROUP BY type, value, unit_label, evidence.source_text")
 def q_keep_first(spark, d):
     f = facts(spark, d).select("fact_id", "type", "value", "unit_label", F.col("evidence.source_text").alias("source_text"))
     return latest.first(f, ["type", "value", "unit_label", "source_text"], ["fact_id"]).select("fact_id")
 
 
-@query("SELECT lower(sha) AS sha, type, value, min(fact_id) AS fact_id FROM facts GROUP BY 1, 2, 3")
+@query("SELECT lower(sha) AS sha, type, value, min(fact_id) AS fact_id FROM FACTS_VIEW GROUP BY 1, 2, 3")
 def q_keep_first_value(spark, d):
     return latest.first(facts(spark, d).select(F.lower("sha").alias("sha"), "type", "value", "fact_id"), ["sha", "type", "value"], ["fact_id"])
 
@@ -388,15 +401,15 @@ def q_unit_guard(spark, d):
     return f.withColumn("fits", fits).groupBy("type", "fits").agg(F.sum("n").alias("n"))
 
 
-@query("""SELECT type, abs(value) <= coalesce(magnitude_ceiling, 'infinity'::DOUBLE) OR value IS NULL AS ok, count(*) AS n FROM facts JOIN fact_types USING (type) WHERE value IS NULL OR NOT isnan(value) GROUP BY 1, 2""")
+@query("""SELECT type, abs(value) <= coalesce(magnitude_ceiling, 'infinity'::DOUBLE) OR value IS NULL AS ok, count(*) AS n FROM FACTS_VIEW JOIN fact_types USING (type) GROUP BY 1, 2""")
 def q_magnitude(spark, d):
-    f = facts(spark, d).where("value is null or not isnan(value)")
+    f = facts(spark, d)
     return f.groupBy("type", units.magnitude_ok(F.col("type"), F.col("value")).alias("ok")).agg(F.count("*").alias("n"))
 
 
 @query()
 def q_rederived(spark, d):
-    f = facts(spark, d).where("value is not null and not isnan(value)")
+    f = facts(spark, d).where("value is not null")
     new = units.rederived_milli(F.col("value"), units.canonical_unit(F.col("type")), F.col("evidence.source_text"))
     return f.select("fact_id", "value", new.alias("rederived")).where("value <> rederived")
 
@@ -517,34 +530,34 @@ def q_enum_problems(spark, d):
 
 def _requests(spark, d):
     """Negative values as correction requests: flagged, with their size as the corrected value."""
-    f = facts(spark, d).where("value < 0 and not isnan(value)")
+    f = facts(spark, d).where("value < 0")
     return f.select(
         F.col("fact_id").alias("id"), "fact_id", F.lit("reader").alias("author"), F.col("evidence.source_text").alias("comment"), F.abs("value").alias("corrected_value"),
         F.lit(None).cast("string").alias("corrected_unit"), F.lit(True).alias("flagged_wrong"), F.col("extracted_at").alias("at"),
     )
 
 
-@query("SELECT fact_id, CASE WHEN value < 0 AND NOT isnan(value) AND trim(coalesce(evidence.source_text, '')) <> '' THEN abs(value) ELSE value END AS value, coalesce(value < 0 AND NOT isnan(value), false) AND trim(coalesce(evidence.source_text, '')) <> '' AS flagged_wrong FROM facts")
+@query("SELECT fact_id, CASE WHEN value < 0 AND trim(coalesce(evidence.source_text, '')) <> '' THEN abs(value) ELSE value END AS value, coalesce(value < 0, false) AND trim(coalesce(evidence.source_text, '')) <> '' AS flagged_wrong FROM FACTS_VIEW")
 def q_facts_current(spark, d):
     f = facts(spark, d)
     accepted, _ = records.corrections_applied(_requests(spark, d), f)
     return records.facts_current(f, accepted).select("fact_id", "value", "flagged_wrong")
 
 
-@query("SELECT fact_id, value AS prior_value, unit_label AS prior_unit, abs(value) AS corrected_value FROM facts WHERE value < 0 AND NOT isnan(value) AND evidence IS NOT NULL AND trim(coalesce(evidence.source_text, '')) <> ''")
+@query("SELECT fact_id, value AS prior_value, unit_label AS prior_unit, abs(value) AS corrected_value FROM FACTS_VIEW WHERE value < 0 AND evidence IS NOT NULL AND trim(coalesce(evidence.source_text, '')) <> ''")
 def q_corrections(spark, d):
     return records.corrections_applied(_requests(spark, d), facts(spark, d))[0].select("fact_id", "prior_value", "prior_unit", "corrected_value")
 
 
 @query(f"""WITH us AS (SELECT DISTINCT unit_label AS u FROM facts UNION SELECT canonical_unit FROM fact_types), {_PLAIN}, {_SIG},
-g AS (SELECT f.type, coalesce(regexp_replace(format('{{:g}}', value), '[^0-9]', '', 'g'), '') AS vd, value, magnitude_ceiling, evidence.source_text AS t, a.sig = b.sig AS fits
- FROM facts f JOIN fact_types ft USING (type) JOIN sig a ON f.unit_label IS NOT DISTINCT FROM a.u JOIN sig b ON ft.canonical_unit = b.u WHERE value IS NULL OR NOT isnan(value))
+g AS (SELECT f.type, coalesce(regexp_replace(format('{{:g}}', f.value), '[^0-9]', '', 'g'), '') AS vd, f.value, r.value IS NOT NULL AND f.value IS NULL AS odd, magnitude_ceiling, f.evidence.source_text AS t, a.sig = b.sig AS fits
+ FROM FACTS_VIEW f JOIN facts r USING (fact_id) JOIN fact_types ft ON f.type = ft.type JOIN sig a ON f.unit_label IS NOT DISTINCT FROM a.u JOIN sig b ON ft.canonical_unit = b.u)
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN t IS NULL THEN 'no valid span citation for ' || type WHEN length(vd) >= 2 AND NOT contains(regexp_replace(t, '[^0-9]', '', 'g'), vd) THEN 'likely mis-citation for ' || type
- WHEN NOT fits THEN 'unit_label != canonical for ' || type WHEN abs(value) > magnitude_ceiling THEN 'magnitude exceeds the plausible ceiling for ' || type END AS reason FROM g) GROUP BY 1""")
+ WHEN odd THEN 'value is no number' WHEN NOT fits THEN 'unit_label != canonical for ' || type WHEN abs(value) > magnitude_ceiling THEN 'magnitude exceeds the plausible ceiling for ' || type END AS reason FROM g) GROUP BY 1""")
 def q_guard_chain(spark, d):
-    f = facts(spark, d).where("value is null or not isnan(value)").select("type", "value", "unit_label", "evidence.source_text")
-    f = evidence.with_unit_fit(f)
-    r = evidence.drop_reason(F.col("type"), F.col("value").cast("string"), F.col("value"), F.col("unit_fits"), F.col("source_text"), F.lit(True))
+    f = table(spark, d, "facts").select("type", F.col("value").cast("string").alias("value_text"), "unit_label", "evidence.source_text")
+    f = evidence.with_unit_fit(f.withColumn("value", evidence.number_or_null(F.col("value_text"))))
+    r = evidence.drop_reason(F.col("type"), F.col("value_text"), F.col("value"), F.col("unit_fits"), F.col("source_text"), F.lit(True))
     return f.groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -556,7 +569,7 @@ def q_cached_cells(spark, d):
     return files.cached_cells(wanted, c).select("cell_id", F.col("payload").isNotNull().alias("cached"))
 
 
-@query("""SELECT fact_id, type, value, unit_label, confidence, evidence.page AS page, parser, model, evidence.source_text AS source_text FROM facts""")
+@query("""SELECT fact_id, type, value, unit_label, confidence, evidence.page AS page, parser, model, evidence.source_text AS source_text FROM FACTS_VIEW""")
 def q_export(spark, d):
     return files.exported(facts(spark, d)).drop("bbox")
 
@@ -570,13 +583,13 @@ def q_snapshot_meta(spark, d):
 # --- graph --------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT type, unit_label, lower(sha) AS sha, lower(trim(parser)) AS parser, model, round(value, 6) AS value, round(condition.current_density, 6) AS current_density FROM facts WHERE evidence IS NOT NULL""")
+@query("""SELECT type, unit_label, lower(sha) AS sha, lower(trim(parser)) AS parser, model, round(value, 6) AS value, round(condition.current_density, 6) AS current_density FROM FACTS_VIEW WHERE evidence IS NOT NULL""")
 def q_graph_view(spark, d):
     v = graph.fact_view(graph.fact_quads(facts(spark, d).withColumn("evidence", F.col("evidence").withField("parser_name", _parser()))))
     return v.select("type", "unit_label", F.substring("paper", 7, 64).alias("sha"), "parser", "model", F.round("value", 6).alias("value"), F.round("current_density", 6).alias("current_density"))
 
 
-@query("""SELECT 'value' AS p, count(*) AS n FROM facts WHERE value IS NOT NULL UNION ALL SELECT 'unitLabel', count(*) FROM facts WHERE unit_label IS NOT NULL
+@query("""SELECT 'value' AS p, count(*) AS n FROM FACTS_VIEW WHERE value IS NOT NULL UNION ALL SELECT 'unitLabel', count(*) FROM facts WHERE unit_label IS NOT NULL
 UNION ALL SELECT 'confidence', count(*) FROM facts WHERE confidence IS NOT NULL UNION ALL SELECT 'sha256', count(DISTINCT lower(sha)) FROM facts
 UNION ALL SELECT 'runId', count(*) FROM facts WHERE run_id IS NOT NULL UNION ALL SELECT 'extractionModel', count(*) FROM facts WHERE model IS NOT NULL AND run_id IS NOT NULL
 UNION ALL SELECT 'formula', count(*) FROM facts WHERE condition.electrolyte.formula IS NOT NULL UNION ALL SELECT 'hadPrimarySource', count(*) FROM facts""")
@@ -592,7 +605,7 @@ def q_graph_runs(spark, d):
     return graph.run_values(q).join(anchored, "s").groupBy("model").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("n_runs"))
 
 
-@query("SELECT unit_label, round(value, 6) AS value FROM facts WHERE type = 'Overpotential' AND unit_label = 'mV' AND value IS NOT NULL AND evidence IS NOT NULL")
+@query("SELECT unit_label, round(value, 6) AS value FROM FACTS_VIEW WHERE type = 'Overpotential' AND unit_label = 'mV' AND value IS NOT NULL AND evidence IS NOT NULL")
 def q_overpotentials_mv(spark, d):
     q = graph.fact_quads(facts(spark, d).where("type = 'Overpotential'"))
     s = graph.star(q, {"unitLabel": "unit_label", "hadPrimarySource": "ev"}, {"value": "value"}, ("unitLabel", "hadPrimarySource", "value"))
