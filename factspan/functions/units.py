@@ -66,22 +66,25 @@ def magnitude_ok(type_: Column, value: Column) -> Column:
 
 
 def rederived_milli(value: Column, canonical: Column, text: Column) -> Column:
-    """value in the canonical milli unit if the text prints it once, with another prefix of the same base beside it.
+    """value in the canonical milli unit if the text prints it once, with a micro, nano or milli prefix of the same base.
 
-    Only canonical units in mV or mA are looked at. The number must stand exactly once as a whole token, and a micro,
-    nano, milli or no prefix with the base must follow it; in every other case the value stays as it is.
+    Only canonical units in mV or mA are looked at. The number must stand exactly once as a whole token, and a prefix
+    with the base must follow it at once; in every other case, a bare V or A included, the value stays as it is.
     """
     base = F.regexp_extract(canonical, r"^m([VA])\b", 1)
-    plain = F.regexp_replace(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "μ${}", "µ"), r"\\,|\\[a-zA-Z]+|\\", " "), r"\s+", " ")
+    plain = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\mu"), F.lit("µ")), r"\\mathrm|\\,|\\;|[{}\\]", "")
+    plain = F.translate(plain, "μ", "µ")
     whole = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string"))
-    factor = {"µ": 1e-6, "u": 1e-6, "n": 1e-9, "m": 1e-3, "": 1.0}
-    out = value
-    for form in (c_general(value), whole):
-        token = F.concat(F.lit(r"(?<!\d)(?<!\d\.)"), F.regexp_replace(form, r"([.+])", r"\\$1"), F.lit(r"(?!\d)(?!\.\d)"))
-        once = F.regexp_count(plain, token) == 1
-        prefix = F.call_function("regexp_extract", plain, F.concat(token, F.lit(r"\s*([µunm]?)"), base, F.lit(r"(?![A-Za-z])")), F.lit(1))
-        found = F.regexp_count(plain, F.concat(token, F.lit(r"\s*[µunm]?"), base, F.lit(r"(?![A-Za-z])"))) == 1
-        scaled = value * F.try_element_at(literal_map(factor), prefix) / F.lit(1e-3)
-        ok = value.isNotNull() & (F.coalesce(base, F.lit("")) != "") & form.isNotNull() & once & found & (prefix != "m")
-        out = F.when((out == value) & ok, scaled).otherwise(out)
-    return out
+    factor = {"µ": 1e-6 / 1e-3, "u": 1e-6 / 1e-3, "n": 1e-9 / 1e-3, "m": 1.0}
+    forms = F.filter(F.array(c_general(value), whole), lambda f: f.isNotNull())
+    tokens = F.transform(forms, lambda f: F.struct(F.concat(F.lit(r"(?<!\d)"), F.regexp_replace(f, r"([.+])", r"\\$1"), F.lit(r"(?!\d)(?!\.\d)")).alias("token"), plain.alias("text"), base.alias("base")))
+
+    def prefix(x: Column) -> Column:
+        with_unit = F.concat(F.lit("(?U)"), x["token"], F.lit(r"\s*([µunm])\s*"), x["base"])
+        said = F.call_function("regexp_extract", x["text"], with_unit, F.lit(1))
+        return F.when((F.regexp_count(x["text"], F.concat(F.lit("(?U)"), x["token"])) == 1) & (said != ""), said)
+
+    # at most one of the two forms stands in the text as a whole token
+    found = F.get(F.filter(F.transform(tokens, prefix), lambda p: p.isNotNull()), F.lit(0))
+    scaled = value * F.try_element_at(literal_map(factor), found)
+    return F.when(F.coalesce(base, F.lit("")) != "", F.coalesce(scaled, value)).otherwise(value)

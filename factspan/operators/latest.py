@@ -1,8 +1,8 @@
 """Latest and first per key, running totals, and what changes along an order.
 
 Picking one row per key is an aggregation (max_by, min_by), which combines before the shuffle, so a key with a third of
-all rows sends one row per partition. Running totals over everything go bucket by bucket: totals of the buckets are
-summed first, then each bucket runs on its own.
+all rows sends one row per partition. Running totals over everything go range by range: totals of the ranges are
+summed first, then each range runs on its own.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factspan.session import staged
+
 
 def _others(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
@@ -40,20 +42,31 @@ def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str], seq: str
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
-def running_total(df: DataFrame, value: str, order: list[str], bucket: Column) -> DataFrame:
+def parse_lookup(runs: DataFrame, blobs: DataFrame, keys: list[str], by: list[Column | str], path: str) -> DataFrame:
+    """keys and path of the newest run of each key, whatever its version; path is null where its blob is missing.
+
+    A missing blob is not made up for by an older run. blobs: the paths that exist.
+    """
+    newest = latest(runs.select(*keys, *by, path), keys, by).select(*keys, path)
+    there = blobs.select(F.col(path).alias("_there")).distinct()
+    return newest.join(there, F.col(path) == F.col("_there"), "left").withColumn(path, F.col("_there")).drop("_there")
+
+
+def running_total(df: DataFrame, value: str, order: list[str]) -> DataFrame:
     """df with before and total: the sum of value over all earlier rows, and with the row itself.
 
-    bucket must not decrease along the order (the day of a timestamp). Only one number per bucket passes the window
-    over buckets; rows are sorted inside their bucket. Null values count as zero.
+    Rows are split into ranges of the order, which Spark cuts by a sample so that they are of like size however the
+    rows lie in time. Only one number per range passes the window over ranges; rows are sorted inside their range.
+    order must be total. Null values count as zero.
     """
     v = F.coalesce(F.col(value), F.lit(0.0))
-    d = df.withColumn("_bucket", bucket)
-    sums = d.groupBy("_bucket").agg(F.sum(v).alias("_s"))
-    ahead = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offset = sums.select("_bucket", F.coalesce(F.sum("_s").over(ahead), F.lit(0.0)).alias("_o"))
-    inside = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    d = d.join(offset, "_bucket").withColumn("total", F.col("_o") + F.sum(v).over(inside))
-    return d.withColumn("before", F.col("total") - v).drop("_bucket", "_o")
+    d = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = d.groupBy("_range").agg(F.sum(v).alias("_s"))
+    ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offset = sums.select("_range", F.coalesce(F.sum("_s").over(ahead), F.lit(0.0)).alias("_o"))
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.join(offset, "_range").withColumn("total", F.col("_o") + F.sum(v).over(inside))
+    return d.withColumn("before", F.col("total") - v).drop("_range", "_o")
 
 
 def marks_crossed(totals: DataFrame, marks: list[float]) -> DataFrame:

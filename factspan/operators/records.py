@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factspan.operators.latest import latest, running_total
+from factspan.session import staged
 from factspan.vocab import ENUMS
 
 # The exchange rate of the reference's cost reports, share of the cap from which it warns.
@@ -42,15 +43,22 @@ def facts_current(facts: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
-def budget_gate(ledger: DataFrame, value: str, order: list[str], bucket: Column, cap: float) -> DataFrame:
+def budget_gate(ledger: DataFrame, value: str, order: list[str], cap: float) -> DataFrame:
     """ledger with before, total, allowed (total at most cap; equality passes) and warned (from 80 % of the cap).
 
     Every entry counts as spent, as in an append-only ledger that is checked afterwards.
     """
-    t = running_total(ledger, value, order, bucket)
+    t = running_total(ledger, value, order)
     return t.withColumn("allowed", F.col("total") <= cap).withColumn("warned", F.col("total") >= SOFT_SHARE * cap)
 
 
+def ledger_entries(cells: DataFrame, usd_per_million: dict[str, float], usd_per_hour: float) -> DataFrame:
+    """ts, kind, provider, amount_eur, cell_id: what each run adds to the ledger, its tokens and its seconds on a GPU."""
+    llm = cells.select(F.col("saved_at").alias("ts"), F.lit("llm").alias("kind"), F.col("label").alias("provider"), token_cost_eur({"in": F.col("in_tokens"), "out": F.col("out_tokens")}, usd_per_million).alias("amount_eur"), "cell_id")
+    gpu = cells.select(F.col("saved_at").alias("ts"), F.lit("gpu").alias("kind"), F.lit(None).cast("string").alias("provider"), gpu_cost_eur(F.col("latency_s"), usd_per_hour).alias("amount_eur"), "cell_id")
+    return llm.unionByName(gpu.where("amount_eur is not null"))
+
+
 def token_cost_eur(tokens: dict[str, Column], usd_per_million: dict[str, float]) -> Column:
     """Euro for the tokens of each tier; tiers without a price count nothing."""
     usd = sum((F.coalesce(c, F.lit(0)) * F.lit(usd_per_million.get(k, 0.0) / 1e6) for k, c in tokens.items()), F.lit(0.0))
@@ -61,19 +69,80 @@ def gpu_cost_eur(seconds: Column, usd_per_hour: float) -> Column:
     return seconds / 3600 * usd_per_hour * EUR_PER_USD
 
 
-def closed_shape(records: DataFrame, id_col: str, json_col: str, allowed: dict[str, str], required: list[str]) -> DataFrame:
-    """id, problem: members that are unknown, missing, or of another type in JSON objects; no row for good ones.
+def capped(ledger: DataFrame, value: str, order: list[str], cap: float) -> DataFrame:
+    """ledger with allowed: whether an entry still fitted under cap when its turn came; refused ones are not spent.
 
-    allowed: member name to number, string, boolean or object. Texts that are no JSON object have the problem
-    'no object'.
+    An entry is refused if what was spent before and itself exceed the cap. Found by rounds of running totals: up to
+    the first entry that does not fit all are spent; that one is refused, and with it every later one dearer than what
+    is left, as this only shrinks. So each round is a distributed running total, and the rounds end after a few, when
+    all later entries fit or none does. Null values count as zero. order must be total.
     """
-    keys = F.json_object_keys(json_col)
+    key, v = F.struct(*order), F.coalesce(F.col(value), F.lit(0.0))
+    rest, spent, out = staged(ledger.withColumn("_v", v)), 0.0, []
+    while True:
+        t = staged(running_total(rest, "_v", order))
+        stop = t.where(F.col("total") + spent > cap).agg(F.min(key).alias("k")).first()["k"]  # one row
+        if stop is None:
+            out.append(t.withColumn("allowed", F.lit(True)))
+            break
+        first = F.struct(*(F.lit(x).cast(t.schema[c].dataType).alias(c) for c, x in zip(order, stop)))
+        fits = t.where(key < first)
+        out.append(fits.withColumn("allowed", F.lit(True)))
+        spent += fits.agg(F.sum("_v")).first()[0] or 0.0
+        later = t.where(key >= first)
+        dear = (F.col("_v") > cap - spent) | (key == first)
+        out.append(later.where(dear).withColumn("allowed", F.lit(False)))
+        rest = staged(later.where(~dear).drop("total", "before"))
+        if rest.isEmpty():
+            break
+    whole = out[0].select(*ledger.columns, "allowed")
+    for o in out[1:]:
+        whole = whole.unionByName(o.select(*ledger.columns, "allowed"))
+    return whole
+
+
+def cap_accepted(spent: float, cap: float) -> bool:
+    """Whether a new cap may be set: one below what is already spent is refused."""
+    return cap >= spent
+
+
+def audit_records(accepted: DataFrame) -> DataFrame:
+    """id, record: each accepted correction with what it replaced as one JSON text; nulls are left out."""
+    return accepted.select("id", F.to_json(F.struct(*(c for c in accepted.columns))).alias("record"))
+
+
+def json_kind(json: Column, member: str) -> Column:
+    """number, string, boolean, object or array: the kind of a member of a JSON object; null if absent or null."""
+    text = F.get_json_object(json, f"$.{member}")
+    quoted = F.regexp_extract(F.to_json(F.variant_get(F.try_parse_json(json), f"$.{member}", "variant")), r"^(.)", 1)
+    kind = F.when(quoted == '"', "string").when(quoted == "{", "object").when(quoted == "[", "array").when(quoted.isin("t", "f"), "boolean").otherwise("number")
+    return F.when(text.isNotNull(), kind)
+
+
+def shape_report(json: Column, allowed: dict[str, str], required: list[str]) -> Column:
+    """Sorted problems of one JSON text: unknown, missing, of another kind, several where one is due; empty if none.
+
+    allowed: member name to number, string, boolean, object or array; a list where another kind is due is a member
+    given more than once. Texts that are no JSON object have the problem 'no object'.
+    """
+    keys = F.json_object_keys(json)
     unknown = F.transform(F.array_except(keys, F.array(*map(F.lit, allowed))), lambda k: F.concat(F.lit("unknown member "), k))
-    value = lambda k: F.get_json_object(json_col, f"$.{k}")
-    absent = F.array(*(F.when(value(k).isNull(), F.lit(f"missing member {k}")) for k in required))
-    typed = F.array(*(F.when(value(k).isNotNull() & value(k).try_cast("double").isNull(), F.lit(f"no number {k}")) for k, t in allowed.items() if t == "number"))
-    all_ = F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(F.concat(unknown, F.filter(absent, lambda x: x.isNotNull()), F.filter(typed, lambda x: x.isNotNull())))
-    return records.select(F.col(id_col), F.explode(all_).alias("problem"))
+    absent = [F.when(F.get_json_object(json, f"$.{k}").isNull(), F.lit(f"missing member {k}")) for k in required]
+    kinds = {k: json_kind(json, k) for k in allowed}
+    odd = [F.when((kinds[k] == "array") & F.lit(t != "array"), F.lit(f"several {k}")).when(kinds[k] != t, F.lit(f"no {t} {k}")) for k, t in allowed.items()]
+    found = F.concat(unknown, F.filter(F.array(*absent, *odd), lambda x: x.isNotNull()))
+    return F.array_sort(F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(found))
+
+
+def closed_shape(records: DataFrame, id_col: str, json_col: str, allowed: dict[str, str], required: list[str]) -> DataFrame:
+    """id, problem: a row for each problem shape_report() finds; no row for good ones."""
+    return records.select(F.col(id_col), F.explode(shape_report(F.col(json_col), allowed, required)).alias("problem"))
+
+
+def validated(records: DataFrame, json_col: str, allowed: dict[str, str], required: list[str]) -> DataFrame:
+    """records, each with ok and report, in their own rows and order: nothing is dropped or moved."""
+    r = records.withColumn("_r", shape_report(F.col(json_col), allowed, required))
+    return r.withColumn("ok", F.size("_r") == 0).withColumn("report", F.array_join("_r", "; ")).drop("_r")
 
 
 def enum_problems(facts: DataFrame) -> DataFrame:

@@ -101,12 +101,17 @@ def agreement(fps: DataFrame) -> DataFrame:
     return best.select("type", "value", "b.*").withColumn("band", band)
 
 
+def _euro(c: str) -> Column:
+    """A sum of amounts of money, exact in whatever order it is added up."""
+    return F.sum(F.col(c).cast("decimal(20,8)"))
+
+
 def macro_micro(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Means over papers and ratios of sums per group; empty sums give nulls."""
     return rows.groupBy(*keys).agg(
         F.avg("f1").alias("macro_f1"), F.avg("recall").alias("macro_recall"), F.avg("precision").alias("macro_precision"),
         F.try_divide(F.sum("tp"), F.sum("gt_total")).alias("micro_recall"),
-        F.try_divide(F.sum("eur_per_paper"), F.sum("tp")).alias("eur_per_tp"), F.sum("eur_per_paper").alias("eur"), F.sum("tp").alias("tp"),
+        F.try_divide(_euro("eur_per_paper").cast("double"), F.sum("tp")).alias("eur_per_tp"), _euro("eur_per_paper").cast("double").alias("eur"), F.sum("tp").alias("tp"),
         F.avg("latency_s").alias("latency_s"), F.countDistinct("paper").alias("n_papers"),
     )
 
@@ -125,6 +130,20 @@ def unioned(items: DataFrame, keys: list[str], source: str, least: int, order: l
     return first(items.join(enough, keys, "left_semi"), [*keys, "type", "value"], order)
 
 
+def requeried(first_pass: DataFrame, second_pass: DataFrame, keys: list[str], vocabulary: list[str], order: list[str]) -> DataFrame:
+    """The first pass with what the second found of types the first lacks, each (type, value) once.
+
+    Where the first pass lacks no type of the vocabulary, or there was none, the second adds nothing.
+    """
+    have = first_pass.where(F.col("type").isin(vocabulary)).groupBy(*keys).agg(F.collect_set("type").alias("_have"))  # at most the vocabulary
+    asked = have.where(F.size("_have") < len(vocabulary))
+    more = second_pass.join(asked, keys).where(~F.array_contains("_have", F.col("type"))).drop("_have")
+    from factspan.operators.latest import first
+
+    both = first_pass.withColumn("_pass", F.lit(1)).unionByName(more.withColumn("_pass", F.lit(2)))
+    return first(both, [*keys, "type", "value"], ["_pass", *order]).drop("_pass")
+
+
 def judged(items: Column, verdict: Column) -> Column:
     """Items with a true verdict; all of them where the verdict has another length or is null."""
     keep = F.filter(F.arrays_zip(items.alias("i"), verdict.alias("v")), lambda z: F.coalesce(z["v"], F.lit(False)))

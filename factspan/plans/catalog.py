@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factspan.plans import core, problems
+from factspan.plans import core, parsed, problems, workspace  # noqa: F401
 
 QUERIES = {**core.QUERIES, **problems.QUERIES}
 SQL = {**core.SQL, **problems.SQL}

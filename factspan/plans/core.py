@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factspan.functions import numbers, text, units
 from factspan.operators import evidence, graph, latest, records, scoring
-from factspan.session import table
+from factspan.session import staged, table
 from factspan.sources import files, spans
 from factspan.vocab import CANONICAL_UNIT, PARSERS
 
@@ -82,6 +82,9 @@ _ITEMS = f"""(SELECT * FROM (
 ) WHERE json_type(item) = 'OBJECT')"""
 
 
+VIEWS["ITEMS_VIEW"], VIEWS["CELLS_VIEW"] = _ITEMS, _CELLS
+
+
 # --- aggregations -------------------------------------------------------------------------------------------------
 
 
@@ -137,13 +140,16 @@ def _drops(spark, d):
     return _cells(spark, d).select("parser", e.alias("e")).select("parser", "e.*")
 
 
+_ADVICE = " UNION ALL ".join(f"SELECT '{b}' AS bucket, '{a}' AS advice" for b, a in evidence.ADVICE.items())
+
+
 @query(f"""WITH b AS (SELECT parser, CASE WHEN stage = 'extract' AND contains(reason, '!= canonical') THEN 'unit mismatch'
  WHEN stage = 'extract' AND contains(reason, 'mis-citation') THEN 'mis-citation'
  WHEN stage = 'extract' AND contains(reason, 'no valid span citation') THEN 'unresolvable evidence'
  WHEN stage = 'extract' AND contains(reason, 'expected dict') THEN 'malformed item'
  WHEN stage = 'extract' THEN 'schema/validation error' WHEN stage = 'shacl' THEN 'SHACL violation' WHEN stage = 'insert' THEN 'insert refusal'
  ELSE 'other' END AS bucket FROM {_DROPS}), n AS (SELECT parser, bucket, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT parser, bucket, n, CAST(round_even(100.0 * n / sum(n) OVER (PARTITION BY parser), 0) AS INT) AS pct, n >= 3 AS systematic FROM n""")
+SELECT parser, bucket, n, CAST(round_even(100.0 * n / sum(n) OVER (PARTITION BY parser), 0) AS INT) AS pct, n >= 3 AS systematic, CASE WHEN n >= 3 THEN a.advice END AS advice FROM n LEFT JOIN ({_ADVICE}) a USING (bucket)""")
 def q_drop_buckets(spark, d):
     return evidence.drop_buckets(_drops(spark, d), ["parser"])
 
@@ -181,11 +187,10 @@ _MATRIX = f"(SELECT * EXCLUDE (parser, label), {_FP} AS parser, lower(trim(paper
 
 
 @query(f"""SELECT mode, parser, label, round(avg(f1), 9) AS macro_f1, round(avg(recall), 9) AS macro_recall, round(avg("precision"), 9) AS macro_precision,
- round(sum(tp)::DOUBLE / nullif(sum(gt_total), 0), 9) AS micro_recall, round(sum(eur_per_paper), 5) AS eur, CAST(sum(tp) AS BIGINT) AS tp,
+ round(sum(tp)::DOUBLE / nullif(sum(gt_total), 0), 9) AS micro_recall, round(CAST(sum(CAST(eur_per_paper AS DECIMAL(20,8))) AS DOUBLE), 5) AS eur, CAST(sum(CAST(eur_per_paper AS DECIMAL(20,8))) AS DOUBLE) / nullif(sum(tp), 0) AS eur_per_tp, CAST(sum(tp) AS BIGINT) AS tp,
  round(avg(latency_s), 6) AS latency_s, count(DISTINCT paper) AS n_papers FROM {_MATRIX} GROUP BY 1, 2, 3""")
 def q_macro_micro(spark, d):
-    # euro per true positive is left as its two sums, which compare exactly
-    m = scoring.macro_micro(_matrix_keys(spark, d), ["mode", "parser", "label"]).drop("eur_per_tp")
+    m = scoring.macro_micro(_matrix_keys(spark, d), ["mode", "parser", "label"])
     return m.withColumns({c: F.round(c, 9) for c in ("macro_f1", "macro_recall", "macro_precision", "micro_recall")}).withColumns({"latency_s": F.round("latency_s", 6), "eur": F.round("eur", 5)})
 
 
@@ -207,16 +212,16 @@ def q_grand_totals(spark, d):
     return g.select("parser", "label", "tp", "miss", F.round(F.try_divide(100.0 * F.col("miss"), F.col("all_miss")), 6).alias("pct_of_misses"))
 
 
-@query("""SELECT lower(trim(parser)) AS parser, count(*) AS n, count(*) FILTER (hit) AS covered, count(*) FILTER (dist) AS n_distinctive, count(*) FILTER (hit AND dist) AS covered_distinctive
-FROM (SELECT parser, value <> floor(value) OR abs(value) >= 100 AS dist,
+@query("""SELECT lower(trim(parser)) AS parser, sha, count(*) AS n, count(*) FILTER (hit) AS covered, count(*) FILTER (dist) AS n_distinctive, count(*) FILTER (hit AND dist) AS covered_distinctive
+FROM (SELECT parser, sha, value <> floor(value) OR abs(value) >= 100 AS dist,
  regexp_matches(replace(t, ',', ''), '(^|[^0-9])' || replace(replace(format('{:g}', value), '.', '\\.'), '+', '\\+') || '([^0-9]|$)')
  OR (value = floor(value) AND abs(value) < 1e15 AND regexp_matches(replace(t, ',', ''), '(^|[^0-9])' || CAST(CAST(value AS BIGINT) AS VARCHAR) || '([^0-9]|$)')) AS hit
- FROM (SELECT parser, value, coalesce(evidence.source_text, '') AS t FROM FACTS_VIEW WHERE value IS NOT NULL)) GROUP BY 1""")
+ FROM (SELECT parser, lower(sha) AS sha, value, coalesce(evidence.source_text, '') AS t FROM FACTS_VIEW WHERE value IS NOT NULL)) GROUP BY 1, 2""")
 def q_coverage(spark, d):
     f = facts(spark, d).where("value is not null")
-    f = f.select(_parser().alias("parser"), numbers.printed_in(F.col("value"), F.col("evidence.source_text")).alias("hit"), numbers.distinctive(F.col("value")).alias("dist"))
+    f = f.select(_parser().alias("parser"), F.lower("sha").alias("sha"), numbers.printed_in(F.col("value"), F.col("evidence.source_text")).alias("hit"), numbers.distinctive(F.col("value")).alias("dist"))
     one = lambda c: F.count_if(c)
-    return f.groupBy("parser").agg(F.count("*").alias("n"), one(F.col("hit")).alias("covered"), one(F.col("dist")).alias("n_distinctive"), one(F.col("hit") & F.col("dist")).alias("covered_distinctive"))
+    return f.groupBy("parser", "sha").agg(F.count("*").alias("n"), one(F.col("hit")).alias("covered"), one(F.col("dist")).alias("n_distinctive"), one(F.col("hit") & F.col("dist")).alias("covered_distinctive"))
 
 
 @query("""WITH v AS (SELECT DISTINCT type, value, lower(substr(sha, 1, 8)) AS sha8, lower(trim(parser)) AS parser FROM FACTS_VIEW WHERE value IS NOT NULL),
@@ -246,9 +251,15 @@ def q_gpu_cost(spark, d):
     return _cells(spark, d).groupBy("parser").agg(F.round(F.sum(records.gpu_cost_eur(F.col("latency_s"), 0.44)), 6).alias("eur"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 0")
+@query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events)
+SELECT e.event_type, n, cost, top FROM (SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(20,8))) AS DOUBLE) AS cost FROM events GROUP BY 1) e
+JOIN (SELECT event_type, string_agg(event_id, ',' ORDER BY k) AS top FROM r WHERE k <= 3 GROUP BY 1) t USING (event_type)""")
 def q_issue_counts(spark, d):
-    return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+    e = events(spark, d)
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,8)")).cast("double").alias("cost"))
+    k = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))  # Spark keeps three rows per kind and task before the shuffle
+    top = e.withColumn("k", k).where("k <= 3").groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("top"))
+    return n.join(top, "event_type")
 
 
 @query(f"SELECT cell_id, label, latency_s FROM {_CELLS} WHERE latency_s IS NOT NULL ORDER BY latency_s DESC, cell_id LIMIT 3")
@@ -293,14 +304,14 @@ def _spend(spark, d):
 m AS (SELECT unnest([1000.0, 5000.0, 10000.0, 20000.0, 50000.0]) AS mark)
 SELECT m.mark::DOUBLE AS mark, event_id FROM t, m WHERE total - coalesce(value, 0) < mark AND mark <= total""")
 def q_marks_crossed(spark, d):
-    t = latest.running_total(_spend(spark, d), "value", ["ts", "event_id"], F.to_date("ts"))
+    t = latest.running_total(_spend(spark, d), "value", ["ts", "event_id"])
     return latest.marks_crossed(t, [1000, 5000, 10000, 20000, 50000]).select("mark", "event_id")
 
 
 @query("""WITH t AS (SELECT sum(coalesce(value, 0)) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events WHERE event_type = 'purchase')
 SELECT total <= 20000 AS allowed, total >= 16000 AS warned, count(*) AS n FROM t GROUP BY 1, 2""")
 def q_budget_gate(spark, d):
-    return records.budget_gate(_spend(spark, d), "value", ["ts", "event_id"], F.to_date("ts"), 20000.0).groupBy("allowed", "warned").agg(F.count("*").alias("n"))
+    return records.budget_gate(_spend(spark, d), "value", ["ts", "event_id"], 20000.0).groupBy("allowed", "warned").agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS s FROM events WHERE event_type = 'purchase' GROUP BY 1),
@@ -407,13 +418,6 @@ def q_magnitude(spark, d):
     return f.groupBy("type", units.magnitude_ok(F.col("type"), F.col("value")).alias("ok")).agg(F.count("*").alias("n"))
 
 
-@query()
-def q_rederived(spark, d):
-    f = facts(spark, d).where("value is not null")
-    new = units.rederived_milli(F.col("value"), units.canonical_unit(F.col("type")), F.col("evidence.source_text"))
-    return f.select("fact_id", "value", new.alias("rederived")).where("value <> rederived")
-
-
 @query(r"""SELECT lower(trim(parser)) AS parser, length(vd) < 2 OR contains(regexp_replace(t, '[^0-9]', '', 'g'), vd) AS cited, count(*) AS n FROM (
  SELECT parser, coalesce(regexp_replace(format('{:g}', value), '[^0-9]', '', 'g'), '') AS vd, coalesce(evidence.source_text, '') AS t FROM facts) GROUP BY 1, 2""")
 def q_citation_guard(spark, d):
@@ -458,17 +462,6 @@ def q_one_line(spark, d):
     return docs(spark, d).select("doc_id", text.one_line(F.col("text")).alias("line"))
 
 
-@query()
-def q_latex_cleaned(spark, d):
-    return facts(spark, d).select("fact_id", text.latex_cleaned(F.col("evidence.source_text")).alias("cleaned"))
-
-
-@query()
-def q_phrases(spark, d):
-    t = text.latex_cleaned(F.col("evidence.source_text"))
-    return facts(spark, d).select("fact_id", text.phrase_around(t, numbers.value_digits(F.col("value"))).alias("phrase")).where("phrase is not null")
-
-
 # --- joins, checks, records ---------------------------------------------------------------------------------------
 
 
@@ -508,15 +501,6 @@ def q_constraints(spark, d):
     return records.constraint_problems(facts(spark, d).select("fact_id", "sha", "parser"), ["fact_id"], papers(spark, d), "sha", "sha256", {"parser": PARSERS})
 
 
-@query("""SELECT problem, count(*) AS n FROM (
- SELECT 'no object' AS problem FROM drift_lines WHERE coalesce(json_type(TRY_CAST(payload AS JSON)) <> 'OBJECT', true)
- UNION ALL SELECT 'missing member ' || k FROM drift_lines, (SELECT unnest(['type', 'value']) AS k) WHERE json_type(TRY_CAST(payload AS JSON)) = 'OBJECT' AND json_extract_string(TRY_CAST(payload AS JSON), '$.' || k) IS NULL) GROUP BY 1""")
-def q_closed_shape(spark, d):
-    allowed = {"type": "string", "value": "number", "unit_label": "string", "condition": "object", "confidence": "number"}
-    p = records.closed_shape(table(spark, d, "drift_lines"), "line_id", "payload", allowed, ["type", "value"])
-    return p.groupBy("problem").agg(F.count("*").alias("n"))
-
-
 _ENUM = " UNION ALL ".join(
     f"SELECT fact_id, '{s}' AS slot, condition.{s} AS entry FROM facts WHERE condition.{s} NOT IN ({', '.join(repr(x) for x in v)})"
     for s, v in records.ENUMS.items()
@@ -585,7 +569,7 @@ def q_snapshot_meta(spark, d):
 
 @query("""SELECT type, unit_label, lower(sha) AS sha, lower(trim(parser)) AS parser, model, round(value, 6) AS value, round(condition.current_density, 6) AS current_density FROM FACTS_VIEW WHERE evidence IS NOT NULL""")
 def q_graph_view(spark, d):
-    v = graph.fact_view(graph.fact_quads(facts(spark, d).withColumn("evidence", F.col("evidence").withField("parser_name", _parser()))))
+    v = graph.fact_view(graph.fact_quads(facts(spark, d).withColumn("evidence", F.col("evidence").withField("parser_name", _parser())), graph.VIEWED, distinct=False))
     return v.select("type", "unit_label", F.substring("paper", 7, 64).alias("sha"), "parser", "model", F.round("value", 6).alias("value"), F.round("current_density", 6).alias("current_density"))
 
 
@@ -595,19 +579,19 @@ UNION ALL SELECT 'runId', count(*) FROM facts WHERE run_id IS NOT NULL UNION ALL
 UNION ALL SELECT 'formula', count(*) FROM facts WHERE condition.electrolyte.formula IS NOT NULL UNION ALL SELECT 'hadPrimarySource', count(*) FROM facts""")
 def q_quad_census(spark, d):
     names = ["value", "unitLabel", "confidence", "sha256", "runId", "extractionModel", "formula", "hadPrimarySource"]
-    return graph.fact_quads(facts(spark, d)).where(F.col("p").isin(names)).groupBy("p").agg(F.count("*").alias("n"))
+    return graph.fact_quads(facts(spark, d), names).groupBy("p").agg(F.count("*").alias("n"))
 
 
 @query("SELECT model, count(*) AS n, count(DISTINCT run_id) AS n_runs FROM facts WHERE run_id IS NOT NULL GROUP BY 1")
 def q_graph_runs(spark, d):
-    q = graph.fact_quads(facts(spark, d))
+    q = graph.fact_quads(facts(spark, d), ["hadPrimarySource", "runId", "extractionModel"], distinct=False)
     anchored = graph.star(q, {"hadPrimarySource": "ev"}, need=("hadPrimarySource",)).select("s")
     return graph.run_values(q).join(anchored, "s").groupBy("model").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("n_runs"))
 
 
 @query("SELECT unit_label, round(value, 6) AS value FROM FACTS_VIEW WHERE type = 'Overpotential' AND unit_label = 'mV' AND value IS NOT NULL AND evidence IS NOT NULL")
 def q_overpotentials_mv(spark, d):
-    q = graph.fact_quads(facts(spark, d).where("type = 'Overpotential'"))
+    q = graph.fact_quads(facts(spark, d).where("type = 'Overpotential'"), ["unitLabel", "hadPrimarySource", "value"], distinct=False)
     s = graph.star(q, {"unitLabel": "unit_label", "hadPrimarySource": "ev"}, {"value": "value"}, ("unitLabel", "hadPrimarySource", "value"))
     return s.where("unit_label = 'mV'").select("unit_label", F.round("value", 6).alias("value"))
 
@@ -615,51 +599,29 @@ def q_overpotentials_mv(spark, d):
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
 
-def _scoring_cells(spark, d):
-    """Cells with preds, gold and present: the first cell of each paper is its gold, the others are scored against it.
+def _gold_cells(spark, d, i):
+    """paper_sha, gold_cell, gold, present: the first cell of each paper is its gold.
 
-    A cell's items are one payload, so the arrays are of its size. present tells whether any other cell of the paper
-    has the value; that is joined per tuple, not gathered per paper.
+    present tells whether any other cell of the paper has the value; that is joined per tuple, not gathered per paper.
     """
-    i = _items(spark, d).where("type is not null")
-    arr = F.array_sort(F.collect_list(F.struct("item_no", "type", "value")))
-    per = i.groupBy("cell_id", "paper_sha", "parser", "label", "mode").agg(F.transform(arr, lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))).alias("preds"))
     first_cell = _cells(spark, d).groupBy("paper_sha").agg(F.min("cell_id").alias("gold_cell"))
     gi = i.join(first_cell.select("paper_sha", F.col("gold_cell").alias("cell_id")), ["paper_sha", "cell_id"])
     seen = i.join(first_cell, "paper_sha").where("cell_id <> gold_cell").select("paper_sha", F.round("value", 3).alias("v")).distinct().withColumn("there", F.lit(True))
     gi = gi.withColumn("v", F.round("value", 3)).join(seen, ["paper_sha", "v"], "left")
     g = F.array_sort(F.collect_list(F.struct("item_no", "type", "value", F.coalesce("there", F.lit(False)).alias("there"))))
     gold = gi.groupBy("paper_sha", F.col("cell_id").alias("gold_cell")).agg(g.alias("g"))
-    gold = gold.select("paper_sha", "gold_cell", F.transform("g", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))).alias("gold"), F.transform("g", lambda x: x["there"]).alias("present"))
-    return per.join(gold, "paper_sha").where("cell_id <> gold_cell")
-
-
-@query()
-def q_greedy_score(spark, d):
-    s = scoring.scored(_scoring_cells(spark, d))
-    return s.select("cell_id", "tp", "n_preds", "n_gold", "recall", "precision", "f1")
-
-
-@query()
-def q_taxonomy(spark, d):
-    c = scoring.classified(_scoring_cells(spark, d))
-    n = lambda s: F.sum(F.size(F.filter("per_tuple", lambda x: x["status"] == s))).alias(s)
-    return c.groupBy("parser", "label").agg(*(n(s) for s in ("hit", "wrong_type", "coverage_gap", "model_gap")), F.sum("fp").alias("fp"), F.count("*").alias("n_cells"))
+    return gold.select("paper_sha", "gold_cell", F.transform("g", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))).alias("gold"), F.transform("g", lambda x: x["there"]).alias("present"))
 
 
-@query()
-def q_recall_by_type(spark, d):
-    t = scoring.classified(_scoring_cells(spark, d)).select(F.explode("per_tuple").alias("t"))
-    p = t.groupBy("t.type").pivot("t.status", ["hit", "wrong_type", "coverage_gap", "model_gap"]).count().na.fill(0)
-    total = F.col("hit") + F.col("wrong_type") + F.col("coverage_gap") + F.col("model_gap")
-    return p.withColumn("recall", F.col("hit") / total).withColumn("reachable_recall", F.coalesce(F.try_divide(F.col("hit"), total - F.col("coverage_gap")), F.lit(0.0)))
-
+def _scoring_cells(spark, d):
+    """Cells with preds, gold and present: the first cell of each paper is its gold, the others are scored against it.
 
-@query()
-def q_false_positive_agreement(spark, d):
-    s = scoring.scored(_scoring_cells(spark, d))
-    f = s.select("paper_sha", "label", "cell_id", F.posexplode(scoring.false_positives(F.col("preds"), F.col("hits"))).alias("k", "t"))
-    return scoring.agreement(f.select(F.col("t.type").alias("type"), F.col("t.value").alias("value"), F.col("paper_sha").alias("sha"), "label", F.struct("cell_id", "k").cast("string").alias("s"), (F.col("cell_id") * 10000 + F.col("k")).alias("seq")))
+    A cell's items are one payload, so the arrays are of its size. The items are parsed once and staged.
+    """
+    i = staged(_items(spark, d).where("type is not null").drop("item", "payload"))
+    arr = F.array_sort(F.collect_list(F.struct("item_no", "type", "value")))
+    per = i.groupBy("cell_id", "paper_sha", "parser", "label", "mode").agg(F.transform(arr, lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"))).alias("preds"))
+    return per.join(_gold_cells(spark, d, i), "paper_sha").where("cell_id <> gold_cell")
 
 
 @query(f"""WITH i AS (SELECT * FROM {_ITEMS} WHERE mode = 'raw'), k AS (SELECT paper_sha, label FROM i GROUP BY 1, 2 HAVING count(DISTINCT parser) >= 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factspan.functions.text import content_key
@@ -44,7 +45,7 @@ def json_cells(spark: SparkSession, pattern: str) -> DataFrame:
 
 def metric_rows(spark: SparkSession, pattern: str) -> DataFrame:
     """Metric CSV with a header, typed; blanks are null, malformed fields too."""
-    return spark.read.csv(pattern, header=True, schema=METRICS, nullValue="", mode="PERMISSIVE")
+    return spark.read.csv(pattern, header=True, schema=METRICS, nullValue="", mode="PERMISSIVE", quote='"', escape='"', multiLine=True)
 
 
 def json_lines(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
@@ -55,22 +56,54 @@ def json_lines(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def front_matter(spark: SparkSession, pattern: str) -> DataFrame:
+    """front_matter_of() the files of a pattern, by their path."""
+    d = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return front_matter_of(d)
+
+
+def front_matter_of(files: DataFrame) -> DataFrame:
     """path, name, description, kind, targets, reads, uses, body, problem: skills with a fenced head of key: value lines.
 
-    Lists are written [a, b]. A file without the fence has only a problem.
+    files: path and text. Lists are written [a, b]. A text without the fence has only a problem.
     """
-    d = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("t"))
     fence = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
-    d = d.withColumn("head", F.regexp_extract("t", fence, 1)).withColumn("body", F.regexp_extract("t", fence, 2))
+    d = files.select("path", "text", F.regexp_extract("text", fence, 1).alias("head"), F.regexp_extract("text", fence, 2).alias("body"))
     line = lambda k: F.expr(f"nullif(trim(both '\"' from trim(regexp_extract(head, '(?m)^{k}:[ ]*(.*)$', 1))), '')")
     items = lambda k: F.filter(F.split(F.translate(line(k), "[]", ""), r"\s*,\s*"), lambda x: F.trim(x) != "")
-    fenced = F.col("t").rlike(fence)
+    fenced = F.coalesce(F.col("text").rlike(fence), F.lit(False))
     return d.select(
         "path", *(line(k).alias(k) for k in ("name", "description", "kind")), *(items(k).alias(k) for k in ("targets", "reads", "uses")),
         F.when(fenced, F.col("body")).alias("body"), F.when(~fenced, F.lit("no front matter")).alias("problem"),
     )
 
 
+def lines_appended(records: DataFrame, path: str) -> None:
+    """Adds each record as one JSON line to a log folder; nulls are left out, dates and numbers written as text."""
+    records.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+
+
+def log_tail(log: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
+    """The last limit records of each log by an order that must be total; Spark keeps limit rows per key and task first."""
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return log.withColumn("_at", at).where(F.col("_at") <= limit).drop("_at")
+
+
+def masked_results(results: DataFrame, calls: DataFrame) -> DataFrame:
+    """results with content replaced where the call it answers read a secret path: what is kept of a session on disk.
+
+    results: call_id, content; calls: call_id, path. Results of unknown calls stay as they are.
+    """
+    secret = calls.where(F.col("path").rlike(SECRET)).select("call_id", F.lit(True).alias("_secret")).distinct()
+    masked = F.when(F.col("_secret"), F.lit("[redacted: secret path]")).otherwise(F.col("content"))
+    return results.join(secret, "call_id", "left").withColumn("content", masked).drop("_secret")
+
+
+def cell_filter(facts: DataFrame, parser: str | None = None, model: str | None = None) -> DataFrame:
+    """Facts of one parser and model; a filter that is not given lets all pass, nulls pass only then."""
+    out = facts if parser is None else facts.where(F.col("parser") == parser)
+    return out if model is None else out.where(F.col("model") == model)
+
+
 def search_lines(lines: DataFrame, path: str, number: str, text: str, pattern: str, cap: int = 100) -> DataFrame:
     """hit: 'path:line: text' of the first cap lines, by path and number, that match; texts are cut to 200 characters.
 
@@ -100,7 +133,8 @@ def exported(facts: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, quote='"', escape='"', mode="overwrite")
+    """CSV with a header and standard quoting; texts keep their blanks at both ends, nulls are empty."""
+    df.write.csv(path, header=True, quote='"', escape='"', mode="overwrite", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def snapshot_meta(rows: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:

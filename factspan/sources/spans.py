@@ -1,79 +1,100 @@
 """Parser outputs as numbered spans: one row per citeable piece of text with its page and box.
 
-Input: a DataFrame with sha, parser and raw (the parser's JSON as text). Unknown parsers, markdown and broken JSON give
-no spans. Span ids count from 0 in the order of the document, over all its pages.
+Input: a DataFrame with sha, parser and raw, the parser's JSON of one file as text. A file is one row, so its spans are
+numbered where it is read, without a shuffle. Unknown parsers, markdown and broken JSON give no spans. Span ids count
+from 0 in the order of the file, over all its pages; texts stay as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _BOX = "array<double>"
+_SPAN = "array<struct<page: int, text: string, bbox: struct<x0: double, y0: double, x1: double, y1: double>>>"
+_SIDES = ("x0", "y0", "x1", "y1")
 
 
-def _box(b: Column) -> Column:
-    return F.struct(*(F.get(b, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+def _span(page: Column, text: Column, box: Column) -> Column:
+    """One span; box is an array of four numbers."""
+    b = F.when(F.size(box) == 4, F.struct(*(F.get(box, F.lit(i)).alias(n) for i, n in enumerate(_SIDES))))
+    return F.struct(page.cast("int").alias("page"), text.alias("text"), b.alias("bbox"))
 
 
-def _rows(df: DataFrame, page: Column, order: list[Column], text: Column, box: Column) -> DataFrame:
-    return df.select("sha", "parser", page.cast("int").alias("page"), F.array(*(o.cast("int") for o in order)).alias("ord"), F.trim(text).alias("text"), _box(box).alias("bbox")).where(
-        (F.length("text") > 0) & F.expr("bbox.x0 is not null and bbox.y0 is not null and bbox.x1 is not null and bbox.y1 is not null")
-    )
+def _some(a: Column) -> Column:
+    return F.filter(a, lambda x: x.isNotNull())
 
 
-def _mineru(df: DataFrame) -> DataFrame:
-    """Pages of blocks; a block's text is every content and math_content string in it, at any depth, in order."""
-    pages = df.select("sha", "parser", F.posexplode(F.from_json("raw", "array<array<string>>")).alias("p", "blocks"))
-    b = pages.select("sha", "parser", "p", F.posexplode("blocks").alias("i", "block"))
-    said = F.regexp_extract_all("block", F.lit(r'"(?:content|math_content)"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    plain = F.transform(said, lambda s: F.get_json_object(F.concat(F.lit('{"t":"'), s, F.lit('"}')), "$.t"))
-    box = F.from_json(F.get_json_object("block", "$.bbox"), _BOX)
-    return _rows(b.where(F.size(box) == 4), F.col("p") + 1, [F.lit(0), F.col("p"), F.col("i")], F.array_join(F.filter(plain, lambda x: F.length(F.trim(x)) > 0), " "), box)
+def _strings(json: Column, members: str) -> Column:
+    """Every string under one of the members, at any depth, in order, joined by a blank."""
+    raw = F.regexp_extract_all(json, F.lit(rf'"(?:{members})"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.array_join(F.transform(raw, lambda s: F.get_json_object(F.concat(F.lit('{"t":"'), s, F.lit('"}')), "$.t")), " ")
 
 
-def _dots(df: DataFrame) -> DataFrame:
-    parsed = F.from_json("raw", f"pages array<array<struct<text string, bbox {_BOX}>>>")
-    pages = df.select("sha", "parser", F.posexplode(parsed["pages"]).alias("p", "blocks"))
-    b = pages.select("sha", "parser", "p", F.posexplode("blocks").alias("i", "b"))
-    return _rows(b, F.col("p") + 1, [F.lit(0), F.col("p"), F.col("i")], F.col("b.text"), F.col("b.bbox"))
+def _mineru(raw: Column) -> Column:
+    """Pages of blocks; a block's text is every content and math_content string in it."""
+    block = lambda p: lambda b: _span(p + 1, _strings(b, "content|math_content"), F.from_json(F.get_json_object(b, "$.bbox"), _BOX))
+    return F.flatten(_some(F.transform(F.from_json(raw, "array<array<string>>"), lambda blocks, p: F.transform(blocks, block(p)))))
 
 
-def _paddle(df: DataFrame) -> DataFrame:
-    parsed = F.from_json("raw", f"pages array<struct<res struct<page_index int, parsing_res_list array<struct<block_content string, block_bbox {_BOX}>>>>>")
-    pages = df.select("sha", "parser", F.posexplode(parsed["pages"]).alias("p", "page")).where("page.res.page_index is not null")
-    b = pages.select("sha", "parser", "p", F.col("page.res.page_index").alias("n"), F.posexplode("page.res.parsing_res_list").alias("i", "b"))
-    return _rows(b, F.col("n") + 1, [F.lit(0), F.col("p"), F.col("i")], F.col("b.block_content"), F.col("b.block_bbox"))
+def _dots(raw: Column) -> Column:
+    pages = F.from_json(raw, f"pages array<array<struct<text string, bbox {_BOX}>>>")["pages"]
+    block = lambda p: lambda b: _span(p + 1, b["text"], b["bbox"])
+    return F.flatten(_some(F.transform(pages, lambda blocks, p: F.transform(blocks, block(p)))))
 
 
-def _docling(df: DataFrame) -> DataFrame:
-    """Texts, one span per place, then tables, whose cells are joined."""
+def _paddle(raw: Column) -> Column:
+    """Pages without an index have no spans."""
+    pages = F.from_json(raw, f"pages array<struct<res struct<page_index int, parsing_res_list array<struct<block_content string, block_bbox {_BOX}>>>>>")["pages"]
+    block = lambda n: lambda b: _span(n + 1, b["block_content"], b["block_bbox"])
+    return F.flatten(_some(F.transform(pages, lambda p: F.transform(p["res"]["parsing_res_list"], block(p["res"]["page_index"])))))
+
+
+def _docling(raw: Column) -> Column:
+    """Texts, one span per place, then tables with every text in their data, however deep."""
     place = "prov array<struct<page_no int, bbox struct<l double, t double, r double, b double>>>"
-    parsed = F.from_json("raw", f"texts array<struct<text string, orig string, {place}>>, tables array<struct<{place}, data struct<table_cells array<struct<text string>>>>>")
-    d = df.select("sha", "parser", parsed.alias("d"))
-    box = F.array("v.bbox.l", "v.bbox.t", "v.bbox.r", "v.bbox.b")
-    t = d.select("sha", "parser", F.posexplode("d.texts").alias("i", "x")).select("sha", "parser", "i", "x", F.posexplode("x.prov").alias("k", "v"))
-    texts = _rows(t, F.col("v.page_no"), [F.lit(0), F.col("i"), F.col("k")], F.coalesce(F.expr("nullif(x.text, '')"), F.col("x.orig")), box)
-    c = d.select("sha", "parser", F.posexplode("d.tables").alias("i", "x")).select("sha", "parser", "i", "x", F.posexplode("x.prov").alias("k", "v"))
-    cells = F.array_join(F.filter(F.transform("x.data.table_cells", lambda y: F.trim(y["text"])), lambda s: F.length(s) > 0), " ")
-    return texts.unionByName(_rows(c, F.col("v.page_no"), [F.lit(1), F.col("i"), F.col("k")], cells, box))
+    d = F.from_json(raw, f"texts array<struct<text string, orig string, {place}>>, tables array<struct<{place}, data string>>")
+    at = lambda text: lambda v: _span(v["page_no"], text, F.array(*(v["bbox"][x] for x in "ltrb")))
+    said = lambda t: F.when(F.length(t["text"]) > 0, t["text"]).otherwise(t["orig"])
+    texts = F.transform(d["texts"], lambda t: F.transform(t["prov"], at(said(t))))
+    tables = F.transform(d["tables"], lambda t: F.transform(t["prov"], at(_strings(t["data"], "text"))))
+    whole = lambda a: F.coalesce(F.flatten(_some(a)), F.array().cast(_SPAN))
+    return F.concat(whole(texts), whole(tables))
 
 
 _ADAPTERS = {"mineru": _mineru, "dots": _dots, "paddle": _paddle, "docling": _docling}
 
 
-def spans(parsed: DataFrame) -> DataFrame:
-    """sha, parser, span_id, page, text, bbox of all parser outputs; each is read by its own parser's adapter.
+def span_array(parser: Column, raw: Column) -> Column:
+    """The spans of one file in order; empty for parsers without geometry and unreadable files.
+
+    A span needs a page, a text that is not blank and a box of four numbers.
+    """
+    out = F.array().cast(_SPAN)
+    for name, adapter in _ADAPTERS.items():
+        out = F.when(F.lower(F.trim(parser)) == name, adapter(raw)).otherwise(out)
+    whole = lambda s: F.coalesce(s["text"].rlike(r"\S"), F.lit(False)) & s["page"].isNotNull() & F.forall(F.array(*(s["bbox"][n] for n in _SIDES)), lambda x: x.isNotNull())
+    return F.filter(F.coalesce(out, F.array().cast(_SPAN)), whole)
+
+
+def spans(parsed: DataFrame, keys: tuple[str, ...] = ("sha", "parser")) -> DataFrame:
+    """keys, span_id, page, text, bbox of all parser outputs, each read by its own parser's adapter.
 
-    Numbering is a window per paper and parser: a paper is one file, whose spans one task holds anyway.
+    keys tell a file apart and come with its spans. Null and empty outputs have no rows; extra columns are left out.
     """
-    parts = [f(parsed.where(F.lower("parser") == name)) for name, f in _ADAPTERS.items()]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    order = W.partitionBy("sha", "parser").orderBy("ord")
-    return all_.withColumn("span_id", F.row_number().over(order) - 1).select("sha", "parser", "span_id", "page", "text", "bbox")
+    out = parsed.select(*keys, F.posexplode(span_array(F.col("parser"), F.col("raw"))).alias("span_id", "s"))
+    return out.select(*keys, "span_id", "s.page", "s.text", "s.bbox")
+
+
+def page_sizes(parser: Column, raw: Column) -> Column:
+    """array<struct<page, width, height>>: page sizes a file tells: docling in points, paddle in pixels, others none."""
+    entries = F.map_entries(F.from_json(raw, "pages map<string, struct<size struct<width double, height double>>>")["pages"])
+    points = F.transform(entries, lambda e: F.struct(e["key"].try_cast("int").alias("page"), e["value"]["size"]["width"].alias("width"), e["value"]["size"]["height"].alias("height")))
+    pages = F.from_json(raw, "pages array<struct<res struct<page_index int, width double, height double>>>")["pages"]
+    pixels = F.transform(pages, lambda p: F.struct((p["res"]["page_index"] + 1).alias("page"), p["res"]["width"].alias("width"), p["res"]["height"].alias("height")))
+    name = F.lower(F.trim(parser))
+    out = F.when(name == "docling", points).when(name == "paddle", pixels)
+    return F.filter(out, lambda x: x["page"].isNotNull() & x["width"].isNotNull() & x["height"].isNotNull())
 
 
 def line_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,6 +104,9 @@ def line_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def batches(s: DataFrame, keys: list[str], max_tokens: int = 120_000) -> DataFrame:
-    """s with batch: 0 where the whole projection is at most max_tokens (four characters each), else the page."""
-    size = F.sum(F.length("text") + 1).over(W.partitionBy(*keys))
-    return s.withColumn("batch", F.when(F.floor(size / 4) <= max_tokens, F.lit(0)).otherwise(F.col("page")))
+    """s with batch: 0 where the whole projection is at most max_tokens (four characters each), else the page.
+
+    The size of a projection is summed before the shuffle and joined back, so a long paper is never in one task.
+    """
+    size = s.groupBy(*keys).agg(F.sum(F.length("text") + 1).alias("_size"))
+    return s.join(size, keys).withColumn("batch", F.when(F.floor(F.col("_size") / 4) <= max_tokens, F.lit(0)).otherwise(F.col("page"))).drop("_size")

@@ -20,15 +20,15 @@ def test_latest_first_upsert(spark):
     assert latest.inserted_if_absent(d, new, ["k"], "seq").where("v = 'y'").count() == 1
 
 
-def test_running_total_by_bucket_is_the_plain_one(spark):
+def test_running_total_by_ranges_is_the_plain_one(spark):
     rows = [(i, i // 7, float((i * 37) % 11)) for i in range(100)] + [(100, 15, None)]
     d = spark.createDataFrame(rows, "i int, day int, v double")
-    got = {r.i: r.total for r in latest.running_total(d, "v", ["i"], F.col("day")).collect()}
+    got = {r.i: r.total for r in latest.running_total(d, "v", ["i"]).collect()}
     s = 0.0
     for i, _, v in rows:
         s += v or 0.0
         assert got[i] == pytest.approx(s)
-    crossed = latest.marks_crossed(latest.running_total(d, "v", ["i"], F.col("day")), [10, 50]).collect()
+    crossed = latest.marks_crossed(latest.running_total(d, "v", ["i"]), [10, 50]).collect()
     assert sorted(r.mark for r in crossed) == [10.0, 50.0]
 
 
@@ -124,6 +124,83 @@ def test_greedy_fold_is_the_plain_loop(spark, cases):
         assert len(statuses) == len(cases[r.i][1]) and r.fp + statuses.count("hit") + statuses.count("wrong_type") == len(cases[r.i][0])
 
 
+def test_guards_ask_the_converted_value(spark):
+    sp = spark.createDataFrame([("a", "dots", 0, 1, "we saw 4500 µV there", (0.0, 0.0, 1.0, 1.0))], "sha string, parser string, span_id int, page int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    items = spark.createDataFrame([(1, "a", "dots", True, "Overpotential", "4500", "mV", None, [0], '{"temperature_C": "80 C", "electrolyte": [{"concentration": "0.5 M"}]}'), (2, "a", "dots", True, "Overpotential", "NaN", "mV", None, [0], None)], "item_id int, sha string, parser string, is_object boolean, type string, value_text string, unit_label string, confidence_text string, span_ids array<int>, condition string")
+    got = {r.item_id: r for r in evidence.guarded(items, sp).collect()}
+    assert got[1].drop_reason is None and got[1].value == 4.5 and got[1].salvaged.temperature_C == 80 and got[1].salvaged.electrolyte_concentration == 0.5
+    assert got[2].drop_reason == "value is no number" and got[2].salvaged.temperature_C is None
+
+
+def test_responses(spark):
+    fence = "text\n```json\n{\"items\": [{\"a\": 1}, 2]}\n```"
+    d = spark.createDataFrame([('{"items": [1, {"b": 2}], "x": 0}',), (fence,), ('{"items": {}}',), ("[1]",), ("none",), ("",), (None,)], "t string")
+    assert [r[0] for r in d.select(evidence.response_items(F.col("t"))).collect()] == [["1", '{"b":2}'], ['{"a":1}', "2"], None, None, None, None, None]
+
+
+def test_boxes_are_tightened_only_on_one_hit(spark):
+    schema = "fact_id int, sha string, page int, value double, source_text string, bbox struct<x0:double,y0:double,x1:double,y1:double>"
+    box = (0.0, 0.0, 40.0, 1.0)
+    f = spark.createDataFrame([(1, "a", 1, 236.0, "at 236 mV", box), (2, "a", 2, 5.5, "x 5.5 y", box), (3, "a", 2, 5.5, "x 5.5 y", box), (4, "a", 3, None, "none", box), (5, None, None, 1.0, None, None)], schema)
+    blocks = spark.createDataFrame([("a", 1, "at 236 mV there", box), ("a", 2, "x 5.5 y", box), ("a", 2, "x 5.5 y", box), ("a", 3, "", box)], "sha string, page int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    got = {r.fact_id: r for r in evidence.tightened(f, evidence.words_of(blocks, ["sha", "page"]), ["sha", "page"]).collect()}
+    assert got[1].refined and (got[1].box.x0, got[1].box.x1) == (10.0, 20.0)
+    assert not got[2].refined and not got[3].refined and not got[4].refined and got[2].box.x1 == 40.0 and got[5].box is None and len(got) == 5
+
+
+def plain_cap(values, cap):
+    spent, out = 0.0, []
+    for v in values:
+        ok = spent + v <= cap
+        spent += v if ok else 0.0
+        out.append(ok)
+    return out
+
+
+@pytest.mark.parametrize("values,cap", [([5.0, 5.0, 1.0, 4.0, 0.5, 9.0, 0.25, 0.25], 11.0), ([3.0, 3.0], 6.0), ([7.0], 6.0), ([], 5.0), ([2.0] * 9 + [0.5] * 9, 5.0)])
+def test_refused_entries_are_not_spent(spark, values, cap):
+    d = spark.createDataFrame([(i, v, "x") for i, v in enumerate(values)], "i int, v double, total string")
+    d = d.drop("total") if values else d.drop("total").limit(0)
+    got = [r.allowed for r in sorted(records.capped(d, "v", ["i"], cap).collect(), key=lambda r: r.i)]
+    assert got == plain_cap(values, cap)
+
+
+def test_lookup_tails_masks_and_names(spark):
+    runs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, at int, path string")
+    got = {r.k: r.path for r in latest.parse_lookup(runs, spark.createDataFrame([("x",), ("z",)], "path string"), ["k"], ["at"], "path").collect()}
+    assert got == {"a": None, "b": "z"}
+    log = spark.createDataFrame([("s", i) for i in range(9)] + [(None, 1)], "s string, i int")
+    assert sorted(r.i for r in files.log_tail(log, ["s"], [F.desc("i")], 2).where("s is not null").collect()) == [7, 8]
+    res = spark.createDataFrame([(1, "secret"), (2, "open"), (3, None)], "call_id int, content string")
+    calls = spark.createDataFrame([(1, "conf/.env"), (1, "conf/.env"), (2, "notes.txt")], "call_id int, path string")
+    assert {r.call_id: r.content for r in files.masked_results(res, calls).collect()} == {1: "[redacted: secret path]", 2: "open", 3: None}
+    names = spark.createDataFrame([("u#A", "A")], "iri string, name string")
+    assert sorted(r.name for r in graph.friendly(spark.createDataFrame([("u#A",), ("u#B",)], "t string"), "t", names).collect()) == ["A", "u#B"]
+    labels = spark.createDataFrame([("RDE", "i1"), ("rde", "i2"), ("Stack", "i3")], "label string, iri string")
+    got = {r.w: (r.iri, r.problem) for r in graph.resolved(spark.createDataFrame([("rde",), ("stack",), ("x",)], "w string"), "w", labels).collect()}
+    assert got == {"rde": (None, "ambiguous"), "stack": ("i3", None), "x": (None, "unknown")}
+
+
+def test_turtle_escapes_and_types(spark):
+    q = spark.createDataFrame([("measurement/1", "sourceText", "literal", 'a "b"\\\nc', None, None), ("measurement/1", "value", "literal", "5.0", 5.0, None), ("measurement/1", "hadPrimarySource", "bnode", "evidence/1", None, None), ("m", "runId", "literal", "r", None, "run/r")], "s string, p string, o_kind string, o_lex string, o_num double, g string")
+    assert sorted(r.line for r in graph.turtle_lines(q).collect()) == [
+        "<measurement/1> <hadPrimarySource> _:evidence-1 .", '<measurement/1> <sourceText> "a \\"b\\"\\\\\\nc" .', '<measurement/1> <value> "5.0"^^<http://www.w3.org/2001/XMLSchema#float> .',
+    ]
+
+
+def test_shapes(spark):
+    rows = [('{"a": 1, "b": "x"}',), ('{"a": "1", "b": ["x"], "z": 0}',), ('{"a": true, "b": {}}',), ('{"b": null}',), ("[]",), ("{torn",), (None,)]
+    got = [r.report for r in records.validated(spark.createDataFrame(rows, "j string"), "j", {"a": "number", "b": "string"}, ["a"]).collect()]
+    assert got == ["", "no number a; several b; unknown member z", "no number a; no string b", "missing member a", "no object", "no object", "no object"]
+
+
+def test_requery(spark):
+    one = spark.createDataFrame([("p", "A", 1.0, 1), ("q", "A", 1.0, 1), ("q", "B", 2.0, 2)], "k string, type string, value double, o int")
+    two = spark.createDataFrame([("p", "A", 9.0, 3), ("p", "B", 3.0, 4), ("q", "B", 9.0, 5), ("r", "A", 1.0, 6)], "k string, type string, value double, o int")
+    got = {(r.k, r.type, r.value) for r in scoring.requeried(one, two, ["k"], ["A", "B"], ["o"]).collect()}
+    assert got == {("p", "A", 1.0), ("p", "B", 3.0), ("q", "A", 1.0), ("q", "B", 2.0)}
+
+
 def test_judge_fails_open(spark):
     d = spark.createDataFrame([([1, 2, 3], [True, False, True]), ([1, 2], [True]), ([1], None)], "i array<int>, v array<boolean>")
     assert [r[0] for r in d.select(scoring.judged(F.col("i"), F.col("v"))).collect()] == [[1, 3], [1, 2], [1]]

@@ -46,7 +46,8 @@ def test_magnitude(spark, t, v, ok):
 @pytest.mark.parametrize(
     "v,canon,said,want",
     [
-        (30.0, "mV/h", "a rise of 30 µV/h", 0.03), (0.3, "mV", "an overpotential of 0.3 V", 300.0), (300.0, "mV", "300 mV at 10", 300.0),
+        (30.0, "mV/h", "a rise of 30 µV/h", 0.03), (0.3, "mV", "an overpotential of 0.3 V", 0.3), (2.8, "mV/h", "2.8\\mu\\mathrm{V}\\mathrm{h}^{-1}", 0.0028), (22.0, "mV/h", "22 μ V/h", 0.022),
+        (2.8, "mV/h", "2.3–2.8 µV h -1", 0.0028), (2.3, "mV/h", "2.3–2.8 µV h -1", 2.3), (3.0, "mV/h", "Fig 3-5 µV/h", 3.0), (5.0, "mV", "load 5}{kV", 5.0), (22.0, "mV/h", "22 kV/h", 22.0), (300.0, "mV", "300 mV at 10", 300.0),
         (30.0, "mV/h", "30 µV/h and again 30 µV/h", 30.0), (30.0, "mV/h", "130 µV/h", 30.0), (30.0, "mV/h", "30.5 µV/h", 30.0),
         (30.0, "h", "30 µV", 30.0), (None, "mV", "30 V", None), (30.0, "mV", None, 30.0),
     ],
