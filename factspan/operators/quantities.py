@@ -159,7 +159,7 @@ def alias_dictionary(spellings: DataFrame, spelling: str = "spelling") -> DataFr
 
 # A number with its unit in running text, after clean_text(): an optional at/under/@ before it, the number, the unit.
 _UNIT = r"1/[A-Za-z]+|x ?1000 ?h|per ?cent|%|[A-Za-zu]+[23]?(?:/[A-Za-z]+[23]?| per (?:1000 )?[A-Za-z]+| ?-[123]|[ .][A-Za-z]+ ?-[123])?(?:_[A-Za-z]+)?"
-_MENTION = rf"(?s).*?((?:\b(?:at|under|bei|bajo) |@ ?)?)(?<![\w.,-])(-?\d(?:[\d,.]| (?=\d{{3}}(?!\d)))*)(?<![,.]) ?((?:{_UNIT})?)(?![A-Za-z])"
+_MENTION = rf"((?:\b(?:at|under|bei|bajo) |@ ?)?)(?<![\w.,-])(-?\d+(?:[.,]\d+| (?=\d{{3}}(?!\d))\d{{3}}){{0,40}}) ?((?:{_UNIT})?)(?![A-Za-z])"
 
 
 def clean_text(c: Column) -> Column:
@@ -172,10 +172,10 @@ def clean_text(c: Column) -> Column:
 def mentions(text: Column) -> Column:
     """Array of (at, number, other, unit) for each number in a text that may carry a unit, in order.
 
-    number reads commas before three digits as thousands, other reads a comma as a decimal point. A null or empty
-    text gives an empty array.
+    number reads commas as thousands, other reads a comma as a decimal point, except where all groups have three
+    digits as thousands have (1,000 is not one). A null or empty text gives an empty array.
     """
-    marked = F.regexp_replace(clean_text(F.coalesce(text, F.lit(""))), _MENTION, "$1\u0001$2\u0001$3\u0002")
+    marked = F.regexp_replace(clean_text(F.coalesce(text, F.lit(""))), _MENTION, "\u0002$1\u0001$2\u0001$3\u0002")
     parts = F.filter(F.split(marked, "\u0002"), lambda x: x.contains("\u0001"))
 
     def one(x: Column) -> Column:
@@ -184,7 +184,7 @@ def mentions(text: Column) -> Column:
         return F.struct(
             (F.length(F.get(f, F.lit(0))) > 0).alias("at"),
             F.translate(n, ", ", "").try_cast("double").alias("number"),
-            F.translate(n, ", ", ".").try_cast("double").alias("other"),
+            F.when(~n.rlike(r"^-?[1-9]\d{0,2}(?:,\d{3})+$"), F.translate(n, ", ", ".").try_cast("double")).alias("other"),
             F.get(f, F.lit(2)).alias("unit"),
         )
 
