@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Members that hold a list; a single entry counts as a list of one.
 LISTS = ("items", "items.condition.electrolyte", "items.evidence", "items.evidence.paper.authors", "errors")
 ELECTROLYTE, DOI, AUTHORS = "items.condition.electrolyte", "items.evidence.paper.doi", "items.evidence.paper.authors"
-_NODES = "id long, doc long, label string, path string, entry boolean, kind string, val string"
+_NODES = "id long, doc string, label string, path string, entry boolean, kind string, val string"
 
 
 def labelled(record: object, lists: tuple[str, ...], wanted: Callable[[str], bool]) -> Iterator[tuple]:
@@ -37,11 +37,12 @@ def labelled(record: object, lists: tuple[str, ...], wanted: Callable[[str], boo
             stack.extend((f"{below}{i}", path, True, x) for i, x in enumerate(v))
 
 
-def nodes(df: DataFrame, id_col: str, json_col: str, lists: tuple[str, ...] = LISTS, under: tuple[str, ...] = ()) -> DataFrame:
+def nodes(df: DataFrame, id_col: str, json_col: str, lists: tuple[str, ...] = LISTS, under: tuple[str, ...] = (), once: bool = False) -> DataFrame:
     """id, doc (hash of the record), label, path, entry, kind, val of every node of every record.
 
-    under: only nodes of these paths and below them are returned. Null and unreadable records have no nodes; members
-    that are null keep a node of kind null. Labels are unique within a record. Extra columns of df are ignored.
+    under: only nodes of these paths and below them are returned. once: a record delivered several times under one id
+    is walked once. Null and unreadable records have no nodes; members that are null keep a node of kind null. Labels
+    are unique within an id and doc: two records of one id are told apart by doc. Extra columns of df are ignored.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,7 +58,8 @@ def nodes(df: DataFrame, id_col: str, json_col: str, lists: tuple[str, ...] = LI
             yield pd.DataFrame(rows, columns=["id", "doc", "label", "path", "entry", "kind", "val"])
 
     text = F.col(json_col)
-    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
+    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.substring(F.md5(text), 1, 16).alias("doc"), text.alias("text"))
+    src = src.dropDuplicates(["id", "doc"]) if once else src
     return src.mapInPandas(walk, _NODES)
 
 
@@ -108,7 +110,10 @@ def found(cells: DataFrame) -> DataFrame:
 
 
 def flat_table(cells: DataFrame, path: str) -> DataFrame:
-    """cell_id, label, parent_label, kind, val of the nodes of one schema path: one of the related flat tables."""
-    n = nodes(cells, "cell_id", "payload", under=(path,)).where(F.col("path") == path)
+    """cell_id, doc, label, parent_label, kind, val of the nodes of one schema path: one of the related flat tables.
+
+    doc and parent_label lead to the parent's row, also where one id was delivered with different records.
+    """
+    n = nodes(cells, "cell_id", "payload", under=(path,), once=True).where(F.col("path") == path)
     up = F.when(F.col("entry"), parent(F.col("label"), 2)).otherwise(parent(F.col("label")))
-    return n.select(F.col("id").alias("cell_id"), "label", up.alias("parent_label"), "kind", "val").distinct()
+    return n.select(F.col("id").alias("cell_id"), "doc", "label", up.alias("parent_label"), "kind", "val")

@@ -39,7 +39,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(table(spark, d, "extraction_cells"), "cell_id", "payload").drop("doc").distinct()
+    return nested.nodes(table(spark, d, "extraction_cells"), "cell_id", "payload", once=True)
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_scripts, p2_table, p4_found, p4_converted, p4_units, p5_found, p5_nodes, p5_items)
 }
 
+_KIND = "CASE json_type({0}) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE CASE WHEN {0} IS NULL THEN 'null' ELSE 'number' END END"
+_VAL = "CASE WHEN json_type({0}) NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN json_extract_string({0}, '$') END"
+
 SQL: dict[str, str] = {
+    "p5_items": f"""
+WITH c AS (SELECT DISTINCT cell_id, substr(md5(payload), 1, 16) AS doc, CAST(payload AS JSON) AS p FROM extraction_cells WHERE payload IS NOT NULL AND json_valid(payload)),
+m AS (SELECT cell_id, doc, CAST(list_position(json_keys(p), 'items') - 1 AS VARCHAR) AS label, json_extract(p, '$.items') AS v FROM c WHERE list_contains(json_keys(p), 'items')),
+e AS (SELECT cell_id, doc, label, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM (SELECT *, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'NULL' THEN CAST([] AS JSON[]) ELSE [v] END AS xs FROM m))
+SELECT cell_id, doc, label, '' AS parent_label, CASE json_type(v) WHEN 'NULL' THEN 'null' ELSE 'array' END AS kind, NULL AS val FROM m
+UNION ALL SELECT cell_id, doc, label || '.' || i, '', {_KIND.format("x")}, {_VAL.format("x")} FROM e
+""",
     "p5_found": """
 WITH c AS (SELECT DISTINCT cell_id, CAST(payload AS JSON) AS p FROM extraction_cells WHERE payload IS NOT NULL AND json_valid(payload)),
 l AS (SELECT cell_id, CASE json_type(p, '$.items') WHEN 'ARRAY' THEN CAST(json_extract(p, '$.items') AS JSON[]) WHEN 'OBJECT' THEN [json_extract(p, '$.items')] ELSE CAST([] AS JSON[]) END AS items FROM c),

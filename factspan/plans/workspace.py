@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factspan.operators import graph, latest, records, scoring
 from factspan.plans.core import _CELLS, _ITEMS, _MATRIX, _cells, _gold_cells, _items, _matrix_keys, _parser, _requests, _scoring_cells, _spend, docs, events, facts, matrix, papers, query
-from factspan.session import shared_dir, table
+from factspan.session import scratch, table
 from factspan.sources import files
 from factspan.vocab import CANONICAL_UNIT, PARSERS
 
 _PURCHASES = "(SELECT event_id, ts, value FROM events WHERE event_type = 'purchase')"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks --------------------------------------------------------------------------------------------
 
 
@@ -55,7 +49,7 @@ _METRIC = ["parser", "label", "model_id", "role", "mode", "n_valid", "n_errors",
 )
 def q_metric_csv(spark, d):
     """Metric rows written as CSV and read again with their types."""
-    path = _folder(spark, "metrics")
+    path = scratch(spark, "metrics")
     m = matrix(spark, d).withColumn("paper", F.col("row_id").cast("string"))
     files.write_csv(m.select(*(c.split(" ")[0] for c in files.METRICS.split(", "))), path)
     return files.metric_rows(spark, path)
@@ -64,7 +58,7 @@ def q_metric_csv(spark, d):
 @query("""SELECT json_extract_string(p, '$.type') AS type, json_extract_string(p, '$.unit_label') AS unit_label, count(*) AS n FROM (SELECT TRY_CAST(payload AS JSON) AS p FROM drift_lines) WHERE json_type(p) = 'OBJECT' GROUP BY 1, 2""")
 def q_json_lines(spark, d):
     """Lines appended to a log and read back; torn ones are skipped."""
-    path = _folder(spark, "log")
+    path = scratch(spark, "log")
     table(spark, d, "drift_lines").select("payload").where("payload is not null").write.mode("append").text(path)
     return files.json_lines(spark, path, "type string, unit_label string").groupBy("type", "unit_label").agg(F.count("*").alias("n"))
 
@@ -72,7 +66,7 @@ def q_json_lines(spark, d):
 @query("SELECT event_id, event_type AS role, user_id FROM events")
 def q_log_append(spark, d):
     """Two appends to one log, read back whole."""
-    path = _folder(spark, "log")
+    path = scratch(spark, "log")
     e = events(spark, d).select("event_id", F.col("event_type").alias("role"), "user_id")
     files.lines_appended(e.where("event_id % 2 = 0"), path)
     files.lines_appended(e.where("event_id % 2 = 1"), path)
@@ -259,7 +253,7 @@ def q_audit_records(spark, d):
 UNION ALL SELECT 'data', 'sha256', count(DISTINCT lower(sha)) FROM facts UNION ALL SELECT 'run', 'runId', count(*) FROM facts WHERE run_id IS NOT NULL""")
 def q_quad_store(spark, d):
     """Quads written to a store and read back; the census opens four predicates of it."""
-    q = graph.stored(graph.fact_quads(facts(spark, d), ["value", "unitLabel", "confidence", "sha256", "runId"]), _folder(spark, "quads"))
+    q = graph.stored(graph.fact_quads(facts(spark, d), ["value", "unitLabel", "confidence", "sha256", "runId"]), scratch(spark, "quads"))
     return q.where(F.col("predicate").isin("value", "unitLabel", "sha256", "runId")).groupBy("graph", "predicate").agg(F.count("*").alias("n"))
 
 
