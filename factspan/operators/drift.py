@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,53 +67,94 @@ def _mark(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def _observe(v: object, path: str, above: list[str], into: dict[str, list]) -> None:
-    """Adds kinds and content of everything in v; list elements belong to the list's own path."""
-    if path:
-        seen = into.setdefault(path, [0, set()])
-        seen[0] |= kind_of(v)
-    if isinstance(v, dict):
+def _texts(v: object) -> str:
+    k = kind_of(v)
+    return f"{k}:{float(v) if k == NUMBER else v}"
+
+
+class Observer:
+    """Kinds and content of the members of files; a small helper that tasks run on each line.
+
+    A member's content is what stands at and below it: values with their paths from it, and the names below it. Marks
+    of values are kept by path and value, as the same ones come again and again.
+    """
+
+    KEPT = 200_000
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, list[int]] = {}
+
+    def line(self, v: dict, into: dict[str, list], done: set) -> None:
+        """Adds a line to the members (path to [kinds, marks]) of its file. done: what the file has had before."""
+        if len(self.known) > self.KEPT:
+            self.known = {}
         for k, x in v.items():
-            p = f"{path}.{k}" if path else k
-            for a in above:
-                into[a][1].add(_mark(p[len(a) :]))
-            _observe(x, p, [*above, p], into)
-    elif isinstance(v, list):
-        for x in v:
-            if isinstance(x, dict):
-                for k, y in x.items():
-                    p = f"{path}.{k}"
-                    for a in above:
-                        into[a][1].add(_mark(p[len(a) :]))
-                    _observe(y, p, [*above, p], into)
-            elif x is not None:
-                into[path][1].add(_mark(f"{kind_of(x)}:{float(x) if kind_of(x) == NUMBER else x}"))
-    elif v is not None:
-        text = f"{kind_of(v)}:{float(v) if kind_of(v) == NUMBER else v}"
-        for a in above:
-            into[a][1].add(_mark(f"{path[len(a) :]}={text}" if a != path else text))
-
-
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    files: dict[tuple, dict[str, list]] = {}
+            self.member(x, k, [k], into, done)
+
+    def member(self, v: object, path: str, above: list[str], into: dict[str, list], done: set) -> None:
+        cls = v.__class__
+        if cls is not dict and cls is not list:
+            key = (path, cls, v)
+            if key in done:  # adds nothing again
+                return
+            done.add(key)
+        seen = into.get(path)
+        if seen is None:
+            seen = into[path] = [0, set()]
+            for a in above[:-1]:
+                into[a][1].add(_mark(path[len(a) :]))
+        if cls is dict:
+            seen[0] |= OBJECT
+            for k, x in v.items():
+                p = f"{path}.{k}"
+                self.member(x, p, [*above, p], into, done)
+        elif cls is list:  # elements belong to the list's own path
+            seen[0] |= ARRAY
+            for x in v:
+                if x.__class__ is dict:
+                    for k, y in x.items():
+                        p = f"{path}.{k}"
+                        self.member(y, p, [*above, p], into, done)
+                elif x is not None:
+                    seen[1].add(_mark(_texts(x)))
+        elif v is not None:
+            seen[0] |= kind_of(v)
+            marks = self.known.get(key)
+            if marks is None:
+                text = _texts(v)
+                marks = self.known[key] = [_mark(text if a == path else f"{path[len(a) :]}={text}") for a in above]
+            for a, m in zip(above, marks):
+                into[a][1].add(m)
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files: dict[tuple, tuple[dict[str, list], set]] = {}
+    observer = Observer()
     for b in batches:
-        for s, d, f, p in zip(b["series"], b["file_date"], b["file_name"], b["payload"]):
+        for s, d, f, p in zip(b.column(0).to_pylist(), b.column(1).cast(pa.int64()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
             v = readable(p)
             if v is not None and f is not None:
-                own = files.setdefault((s, d, f), {})
-                _observe(v, "", [], own)
-                for seen in own.values():
-                    if len(seen[1]) > 4 * SKETCH:
-                        seen[1] = set(sorted(seen[1])[:SKETCH])
+                own, done = files.setdefault((s, d, f), ({}, set()))
+                observer.line(v, own, done)
+                if len(done) > 16 * SKETCH:  # forgetting only costs time
+                    done.clear()
+                    for seen in own.values():
+                        if len(seen[1]) > 4 * SKETCH:
+                            seen[1] = set(sorted(seen[1])[:SKETCH])
         if len(files) > 2000:
             yield _rows(files)
             files = {}
     yield _rows(files)
 
 
-def _rows(files: dict[tuple, dict[str, list]]) -> pd.DataFrame:
-    rows = [(s, d, f, p, k, sorted(c)[:SKETCH]) for (s, d, f), own in files.items() for p, (k, c) in own.items()]
-    return pd.DataFrame(rows, columns=[*FILE, "path", "kinds", "content"])
+def _rows(files: dict[tuple, tuple[dict[str, list], set]]) -> pa.RecordBatch:
+    of = [key for key, (own, _) in files.items() for _ in own]
+    members = [(p, k, sorted(c)[:SKETCH]) for own, _ in files.values() for p, (k, c) in own.items()]
+    ends = pa.array([0, *accumulate(len(m[2]) for m in members)], pa.int32())
+    content = pa.ListArray.from_arrays(ends, pa.array([x for m in members for x in m[2]], pa.int64()))
+    date = pa.array([k[1] for k in of], pa.int64()).cast(pa.timestamp("us", tz="UTC"))
+    columns = [pa.array([k[0] for k in of], pa.string()), date, pa.array([k[2] for k in of], pa.string()), pa.array([m[0] for m in members], pa.string()), pa.array([m[1] for m in members], pa.int32()), content]
+    return pa.RecordBatch.from_arrays(columns, [*FILE, "path", "kinds", "content"])
 
 
 _PARTIAL = "series string, file_date timestamp, file_name string, path string, kinds int, content array<long>"
@@ -124,7 +167,7 @@ def member_schemas(lines: DataFrame) -> DataFrame:
     third of all lines costs no more than any other. Torn lines, lines that are no objects and lines without a file
     name are left out; lines delivered twice change nothing.
     """
-    part = lines.select(*FILE, "payload").mapInPandas(_partial, _PARTIAL)
+    part = lines.select("series", F.col("file_date").cast("timestamp").alias("file_date"), "file_name", "payload").mapInArrow(_partial, _PARTIAL)
     both = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("content")))), 1, SKETCH)
     return part.groupBy(*FILE, "path").agg(F.bit_or("kinds").alias("kinds"), both.alias("content"))
 
@@ -143,15 +186,14 @@ def _likeness(a: tuple[int, set], b: tuple[int, set]) -> float:
     return len(a[1] & b[1]) / min(len(a[1]), len(b[1]))
 
 
-def _assign(old: list[str], new: list[str], like: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
-    """Pairs of old and new names of the least total cost, a rename costing 1 - likeness, a delete or an add 1 each.
+def _assign(gain: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+    """The pairs of old and new names that save most in all, each name in one pair at most.
 
-    Exact for any number of names (Hungarian method); a pair too unlike to be a rename gains nothing and is left out.
+    gain: what a pair saves against a delete and an add. Exact for any number of names (Hungarian method).
     """
-    gain = {p: 1 + s for p, s in like.items() if s >= SAME_CONTENT}
     rows, cols = sorted({p[0] for p in gain}), sorted({p[1] for p in gain})
     if len(rows) > len(cols):
-        return sorted((x, y) for y, x in _assign(new, old, {(y, x): s for (x, y), s in like.items()}))
+        return sorted((x, y) for y, x in _assign({(y, x): g for (x, y), g in gain.items()}))
     n, m = len(rows), len(cols)
     u, v, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):
@@ -204,10 +246,11 @@ def edit_script(
 ) -> list[tuple[str, str, str, float]]:
     """(change, old path, new path, cost) of the cheapest script from one schema to the next.
 
-    Children of equal names are matched; a different kind is a retype (1). Others are matched by content as renames
-    (1 - likeness of content, same kind), else they are removed and added (1 each). What lies below a member that was
-    itself changed is not looked at. A removed and an added subtree in different places with the same name and content
-    are reported once more as a move. exact has the likeness of pairs whose content is known beyond its sketch.
+    Children of equal names are matched; a different kind is a retype (1). What lies below a member that was itself
+    changed is not looked at. Members that are gone and members that are new are then paired at the least cost in all:
+    in one parent as a rename (1 - likeness of content), under one name in different parents as a move (2 - likeness),
+    if their kind is the same and at least SAME_CONTENT of their content; what is left is removed and added (1 each).
+    exact has the likeness of pairs whose content is known beyond its sketch.
     """
 
     def likeness(x: str, y: str) -> float:
@@ -230,20 +273,24 @@ def edit_script(
                 out.append(("retyped", at(n), at(n), 1.0))
             else:
                 step(at(n))
-        like = {(x, y): likeness(at(x), at(y)) for x in a - b for y in b - a}
-        pairs = _assign(sorted(a - b), sorted(b - a), like)
-        for x, y in pairs:
-            out.append(("renamed", at(x), at(y), 1 - like[x, y]))
-        out.extend(("removed", at(x), "", 1.0) for x in sorted(a - b - {x for x, _ in pairs}))
-        out.extend(("added", "", at(y), 1.0) for y in sorted(b - a - {y for _, y in pairs}))
+        gone.extend(at(n) for n in a - b)
+        come.extend(at(n) for n in b - a)
 
+    gone: list[str] = []
+    come: list[str] = []
     step("")
-    gone = [c for c in out if c[0] == "removed"]
-    for c in [c for c in out if c[0] == "added"]:
-        for g in gone:
-            name = c[2].rpartition(".")[2]
-            if g[1].rpartition(".")[2] == name and likeness(g[1], c[2]) >= SAME_CONTENT:
-                out.append(("moved", g[1], c[2], 1.0))
+    head, name = (lambda p: p.rpartition(".")[0]), (lambda p: p.rpartition(".")[2])
+    by: dict[tuple[bool, str], list[str]] = {}
+    for y in come:
+        by.setdefault((True, head(y)), []).append(y)
+        by.setdefault((False, name(y)), []).append(y)
+    like = {(x, y): s for x in gone for y in {*by.get((True, head(x)), ()), *by.get((False, name(x)), ())} if (s := likeness(x, y)) >= SAME_CONTENT}
+    # a rename saves 1 + likeness, a move likeness; of equal savings a rename goes first
+    pairs = _assign({(x, y): 1 + s if head(x) == head(y) else 0.99 * s for (x, y), s in like.items()})
+    for x, y in pairs:
+        out.append(("renamed", x, y, 1 - like[x, y]) if head(x) == head(y) else ("moved", x, y, 2 - like[x, y]))
+    out.extend(("removed", x, "", 1.0) for x in sorted(set(gone) - {x for x, _ in pairs}))
+    out.extend(("added", "", y, 1.0) for y in sorted(set(come) - {y for _, y in pairs}))
     return out
 
 
@@ -272,13 +319,14 @@ def _unsure_pairs(old: pd.Series, new: pd.Series) -> pd.Series:
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Every distinct mark of the wanted members of a batch's lines."""
+    observer = Observer()
     for b in batches:
         rows = set()
         for s, d, f, p, wanted in zip(b["series"], b["file_date"], b["file_name"], b["payload"], b["wanted"]):
             v = readable(p)
             if v is not None:
                 own: dict[str, list] = {}
-                _observe(v, "", [], own)
+                observer.line(v, own, set())
                 rows.update((s, d, f, w, m) for w in wanted if w in own for m in own[w][1])
         yield pd.DataFrame(list(rows), columns=[*FILE, "path", "mark"])
 
@@ -320,6 +368,7 @@ def edit_scripts(lines: DataFrame, keep_schemas: DataFrame | None = None) -> Dat
     prev = s.select("series", F.col("file_date").alias("prev_date"), F.col("file_name").alias("prev_name"), F.col("members").alias("before"))
     both = chain.join(prev, ["series", "prev_date", "prev_name"]).join(s, FILE)
     full = F.exists("members", lambda m: F.size(m["content"]) >= SKETCH) | F.exists("before", lambda m: F.size(m["content"]) >= SKETCH)
+    both = staged(_changed(both))
     pairs = both.where(full).select(*FILE, "prev_date", "prev_name", F.explode(_unsure_pairs("before", "members")).alias("p")).select("*", "p.*").drop("p")
     pairs = staged(pairs)
     if pairs.isEmpty():  # all content fits its sketch
@@ -329,10 +378,24 @@ def edit_scripts(lines: DataFrame, keep_schemas: DataFrame | None = None) -> Dat
     return both.select(*FILE, F.explode(_scripts("before", "members", "exact")).alias("c")).select(*FILE, "c.*")
 
 
+def _changed(both: DataFrame) -> DataFrame:
+    """Files with another schema than the one before, content left only with members that are gone or new."""
+    shape = lambda c: F.array_sort(F.transform(c, lambda m: F.struct(m["path"].alias("path"), m["kinds"].alias("kinds"))))
+    both = both.where(shape("before") != shape("members"))
+    none = F.array().cast("array<long>")
+    left = lambda c, other: F.transform(c, lambda m: F.struct(m["path"].alias("path"), m["kinds"].alias("kinds"), F.when(F.array_contains(F.col(other)["path"], m["path"]), none).otherwise(m["content"]).alias("content")))
+    return both.withColumns({"before": left("before", "members"), "members": left("members", "before")})
+
+
 def found(lines: DataFrame) -> DataFrame:
-    """p2_found: added, removed, renamed and retyped members with the file that brought the change."""
-    e = edit_scripts(lines).where(F.col("change") != "moved")
-    return e.select("file_name", "change", "old_path", "new_path")
+    """p2_found: added, removed, renamed and retyped members with the file that brought the change.
+
+    The report knows no moves: a member that moved was removed in one place and added in another.
+    """
+    one = lambda change, old, new: F.struct(F.lit(change).alias("change"), old.alias("old_path"), new.alias("new_path"))
+    old, new, none = F.col("old_path"), F.col("new_path"), F.lit("")
+    both = F.when(F.col("change") == "moved", F.array(one("removed", old, none), one("added", none, new))).otherwise(F.array(F.struct("change", "old_path", "new_path")))
+    return edit_scripts(lines).select("file_name", F.explode(both).alias("c")).select("file_name", "c.*")
 
 
 def _leaves(v: dict) -> Iterator[tuple[str, tuple[int, ...], object]]:

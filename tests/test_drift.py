@@ -52,10 +52,17 @@ def test_empty(spark):
     assert D.found(lines(spark, []).limit(0)).count() == 0
 
 
-def test_move_is_reported_in_scripts():
+def test_a_move_is_one_operation():
     old = {"a": (8, {1, 2}), "a.x": (1, {5}), "b": (8, {9})}
     new = {"a": (8, {1}), "b": (8, {9, 5}), "b.x": (1, {5})}
-    assert ("moved", "a.x", "b.x", 1.0) in D.edit_script(old, new)
+    assert D.edit_script(old, new) == [("moved", "a.x", "b.x", 1.0)]
+
+
+def test_moves_are_removed_and_added_in_the_report(spark):
+    files = [("s1", 0, [{"a": {"ph": 7, "k": 1}, "b": {"z": "u"}}]), ("s2", 1, [{"a": {"k": 1}, "b": {"z": "u", "ph": 7}}])]
+    got = lines(spark, files)
+    assert [tuple(r)[3:6] for r in D.edit_scripts(got).collect()] == [("moved", "a.ph", "b.ph")]
+    assert {tuple(r) for r in D.found(got).collect()} == {("s2", "removed", "a.ph", ""), ("s2", "added", "", "b.ph")}
 
 
 def test_assignment_is_cheapest():
@@ -117,12 +124,13 @@ def test_renames_between_files_of_unequal_size(spark):
 
 def test_assignment_is_cheapest_at_any_size():
     a, b = [f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]
-    like = {(x, y): 0.0 for x in a for y in b} | {(x, y): 0.8 for x, y in zip(a, b)} | {(x, y): 0.9 for x, y in zip(a, b[1:])}
-    assert D._assign(a, b, like) == list(zip(a, b))  # by falling likeness: seven pairs, a7 and b0 left over
+    gain = {(x, y): 1.8 for x, y in zip(a, b)} | {(x, y): 1.9 for x, y in zip(a, b[1:])}
+    assert D._assign(gain) == list(zip(a, b))  # by falling gain: seven pairs, a7 and b0 left over
     rnd = random.Random(5)
     for _ in range(40):
         n, m = rnd.randint(1, 5), rnd.randint(1, 5)
-        like = {(x, y): rnd.choice([0.0, 0.4, 0.5, 0.6, 0.75, 1.0]) for x in a[:n] for y in b[:m]}
-        value = lambda ps: sum(1 + like[p] for p in ps if like.get(p, 0) >= D.SAME_CONTENT)  # noqa: B023, E731
+        gain = {(x, y): g for x in a[:n] for y in b[:m] if (g := rnd.choice([0.0, 0.6, 1.5, 1.6, 1.75, 2.0]))}
+        value = lambda ps: sum(gain.get(p, 0.0) for p in ps)  # noqa: B023, E731
         best = max(value(zip(xs, ys)) for xs in [a[:n]] for ys in permutations([*b[:m], *[""] * n], n))
-        assert abs(value(D._assign(a[:n], b[:m], like)) - best) < 1e-9
+        got = D._assign(gain)
+        assert abs(value(got) - best) < 1e-9 and len({x for x, _ in got}) == len({y for _, y in got}) == len(got)
