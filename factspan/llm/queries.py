@@ -43,7 +43,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.found(table(spark, d, "documents"))
+    return personal.found(table(spark, d, "documents"), personal.secret_key(spark))
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -51,12 +51,16 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return personal.surrogates(table(spark, d, "documents"))
+    return personal.surrogates(table(spark, d, "documents"), personal.secret_key(spark))
+
+
+def p8_pseudonymised(spark: SparkSession, d: str) -> DataFrame:
+    return personal.pseudonymised(table(spark, d, "documents"), personal.secret_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_fact_records, p1_cell_records, p3_found, p3_misses, p6_ids, p7_found, p7_items, p8_found, p8_redacted, p8_surrogates)
+    for f in (p1_found, p1_fact_records, p1_cell_records, p3_found, p3_misses, p6_ids, p7_found, p7_items, p8_found, p8_redacted, p8_surrogates, p8_pseudonymised)
 }
 
 _MISSING = "('', '-', '--', '?', '.', 'n/a', 'na', 'n.a.', 'none', 'null', 'nan', 'unknown', 'missing', 'tbd', 'other')"
