@@ -1,9 +1,10 @@
 """Free-entered values mapped to the terms of a list (problem 3), by symmetric deletes.
 
 Known spellings of the terms, with all strings that arise from them by up to MAX_EDITS deletions, form a dictionary of
-fixed size. The deletes of each distinct entry are looked up in it; the pairs that meet are verified by a weighted
-Damerau-Levenshtein distance and ranked by it, then by how often the term itself is entered. Entries that meet none
-are reported as misses.
+fixed size. Every distinct entry is looked up in it, as it is and then with its own deletes; the pairs that meet are
+verified by a weighted Damerau-Levenshtein distance and ranked by it, then by how often the term itself is entered.
+Entries that meet none are reported as misses. Spellings are the terms, their initials and the abbreviations in their
+gloss, by rule, and a table of other names, which is an input: default_names() is the list for this vocabulary.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from itertools import combinations
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factspan.functions.marks import squeezed
+from factspan.session import staged
 
 FIELDS = ["cell_type", "cell_type_family", "electrolyte_family"]
 #: Edits allowed where one of two spellings has at least LONG characters; one from SHORT characters on, else none.
@@ -24,7 +26,7 @@ MAX_EDITS, LONG, SHORT = 2, 5, 4
 #: Copies of the mapping over which rows of one entry are spread where the join is not a broadcast.
 SALTS = 16
 
-# Other names of the terms, abbreviations and translations, as plain() writes them.
+# Other names of the terms, abbreviations and translations, as plain() writes them: the default table.
 ALIASES = {
     "RDE": ["r d e", "rotating disc electrode", "rotating disk electrode", "rotating disk", "rotating disc", "scheibenelektrode rot", "rotierende scheibenelektrode", "electrode a disque tournant"],
     "three_electrode_flow": ["3 el flow", "three electrode flow", "3 electrode flow cell", "three electrode flow cell", "flow cell three electrodes", "3 electrode flow"],
@@ -132,15 +134,40 @@ def _with_deletes(df: DataFrame) -> DataFrame:
     return df.withColumn("del", F.explode(_deletes("field", "plain")))
 
 
-def known_spellings(vocab_terms: DataFrame) -> DataFrame:
-    """field, term_id, plain: the terms and their other names; term_id 0 for entries that stand for none."""
-    spark = vocab_terms.sparkSession
-    other = spark.createDataFrame([(t, a) for t, names in ALIASES.items() for a in names], "term string, plain string")
+def default_names(spark: SparkSession) -> DataFrame:
+    """term, name: other names of the terms of this vocabulary; term is null for entries that stand for none."""
+    rows = [(t, a) for t, names in ALIASES.items() for a in names] + [(None, a) for a in NO_TERM]
+    return spark.createDataFrame(rows, "term string, name string")
+
+
+def names_by_rule(vocab_terms: DataFrame) -> DataFrame:
+    """field, term_id, plain: initials of a term's words before its last (rotating disk electrode cell: rde, rde cell),
+    and words of its gloss in capitals (DEMS), alone and with the term's last word."""
+    words = F.split(plain(F.col("term")), " ")
+    d = vocab_terms.select("field", "term_id", words.alias("w"), F.size(words).alias("n"), "gloss")
+    last = F.element_at("w", -1)
+    initials = F.array_join(F.transform(F.slice("w", F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda x: F.substring(x, 1, 1)), "")
+    initials = F.when((F.col("n") >= 4) & (F.length(initials) >= 3), F.array(initials)).otherwise(F.array().cast("array<string>"))
+    said = F.transform(F.regexp_extract_all(F.coalesce("gloss", F.lit("")), F.lit(r"\b([A-Z]{3,})\b"), F.lit(1)), F.lower)
+    short = F.array_distinct(F.concat(initials, said))
+    both = F.concat(short, F.transform(short, lambda x: F.concat_ws(" ", x, last)))
+    return d.select("field", "term_id", F.explode(both).alias("plain"))
+
+
+def known_spellings(vocab_terms: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """field, term_id, plain: the terms and their other names; term_id 0 for entries that stand for none.
+
+    A spelling given by the table of names goes before one made by rule; one that two terms share then goes to the
+    greater id.
+    """
+    names = default_names(vocab_terms.sparkSession) if names is None else names
     own = vocab_terms.select("field", "term_id", "term")
-    spelled = own.select("field", "term_id", plain(F.col("term")).alias("plain")).unionByName(own.join(other, "term").select("field", "term_id", "plain"))
-    none = own.select("field").distinct().withColumn("plain", F.explode(F.array(*map(F.lit, NO_TERM))))
-    # A name that two terms of a field share goes to the smaller id.
-    return spelled.unionByName(none.select("field", F.lit(0).alias("term_id"), "plain")).groupBy("field", "plain").agg(F.max("term_id").alias("term_id"))
+    given = own.join(names.where("term is not null"), "term").select("field", "term_id", F.col("name").alias("plain"), F.lit(2).alias("rank"))
+    none = names.where("term is null").withColumn("field", F.explode(F.array(*map(F.lit, FIELDS)))).select("field", F.lit(0).alias("term_id"), F.col("name").alias("plain"), F.lit(2).alias("rank"))
+    terms = own.select("field", "term_id", plain(F.col("term")).alias("plain"), F.lit(3).alias("rank"))
+    ruled = names_by_rule(vocab_terms).withColumn("rank", F.lit(1))
+    whole = terms.unionByName(given).unionByName(none).unionByName(ruled)
+    return whole.groupBy("field", "plain").agg(F.max_by("term_id", F.struct("rank", "term_id")).alias("term_id"))
 
 
 def entries(facts: DataFrame) -> DataFrame:
@@ -149,28 +176,32 @@ def entries(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", f.alias("e")).select("fact_id", "e.*").where(F.length(squeezed(F.col("entry"))) > 0)
 
 
-def term_mapping(entered: DataFrame, vocab_terms: DataFrame) -> DataFrame:
-    """field, entry, term_id, plain, cost: each distinct entry that is no term as it stands; term_id 0 for misses.
+def term_mapping(entered: DataFrame, vocab_terms: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """field, entry, n, plain, term_id, cost: each distinct entry that is no term as it stands; term_id 0 for misses.
 
-    entered: field and entry, repeated at will. Entries are counted first, so that the work below grows with the
-    vocabulary people use, not with the rows. Ties of the weighted distance go to the term entered most often as it
-    stands, then to the smaller id. Null and blank entries have no row.
+    entered: field and entry, repeated at will; names: other names of the terms (term, name), default_names() if None.
+    Entries are counted first and staged, so that the work below grows with the vocabulary people use, not with the
+    rows. An entry that is a known spelling needs no deletes; of the others all deletes are looked up. Ties of the
+    weighted distance go to the term entered most often as it stands, then to the smaller id. Null and blank entries
+    have no row.
     """
-    counts = entered.groupBy("field", "entry").agg(F.count("*").alias("n"))
+    spark = entered.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = staged(entered.groupBy("field", "entry").agg(F.count("*").alias("n")))
     terms = vocab_terms.select("field", F.col("term").alias("entry"), "term_id")
     often = terms.join(counts, ["field", "entry"], "left").select("field", "term_id", F.coalesce("n", F.lit(0)).alias("often"))
     ours = counts.join(F.broadcast(terms), ["field", "entry"], "left_anti").withColumn("plain", plain(F.col("entry")))  # terms: 27 rows
     words = ours.where("plain <> ''").select("field", "plain").distinct()
-    known = known_spellings(vocab_terms)
+    known = staged(known_spellings(vocab_terms, names))
     exact = words.join(known, ["field", "plain"]).select("field", "plain", "term_id", F.lit(0.0).alias("cost"))
     # An entry longer than every known spelling by more than the allowed edits is a miss for certain.
     longest = known.groupBy("field").agg(F.max(F.length("plain")).alias("longest"))
     rest = words.join(known, ["field", "plain"], "left_anti").join(F.broadcast(longest), "field")  # three rows
-    rest = rest.where(F.length("plain") <= F.col("longest") + MAX_EDITS).select("field", "plain")
+    rest = rest.where(F.length("plain") <= F.col("longest") + MAX_EDITS).select("field", "plain").repartition(spread)
     table = _with_deletes(known.select("field", "plain")).withColumnRenamed("plain", "spelling")
-    # The dictionary comes from the term list and the names above alone: some 25,000 strings however much data there is.
+    # The dictionary comes from the term list and its names alone: some 30,000 strings however much data there is.
     met = _with_deletes(rest).join(F.broadcast(table), ["field", "del"]).select("field", "plain", "spelling").distinct()
-    near = met.withColumn("cost", _distance("plain", "spelling"))
+    near = met.repartition(spread).withColumn("cost", _distance("plain", "spelling"))
     limit = F.when(F.greatest(F.length("plain"), F.length("spelling")) >= LONG, MAX_EDITS + 0.2).otherwise(1.2)
     near = near.where(F.col("cost") <= limit).join(known.withColumnRenamed("plain", "spelling"), ["field", "spelling"])
     near = near.join(often, ["field", "term_id"], "left").groupBy("field", "plain").agg(
@@ -180,14 +211,14 @@ def term_mapping(entered: DataFrame, vocab_terms: DataFrame) -> DataFrame:
     return ours.join(best, ["field", "plain"], "left").select("field", "entry", "n", "plain", F.coalesce("term_id", F.lit(0)).alias("term_id"), "cost")
 
 
-def found(facts: DataFrame, vocab_terms: DataFrame) -> DataFrame:
+def found(facts: DataFrame, vocab_terms: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """p3_found: fact_id, field, term_id of each entry that is not written like a term; 0 where it stands for none.
 
     The mapping of distinct entries is joined back. A frequent entry may hold a third of all rows: rows are salted and
     the mapping, which is small against them, is repeated for each salt.
     """
     e = entries(facts)
-    mapping = term_mapping(e, vocab_terms).select("field", "entry", "term_id")
+    mapping = term_mapping(e, vocab_terms, names).select("field", "entry", "term_id")
     mapping = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = e.withColumn("salt", F.pmod(F.xxhash64("fact_id"), F.lit(SALTS)).cast("int"))
     return salted.join(mapping, ["field", "entry", "salt"]).select("fact_id", "field", F.col("term_id").cast("long").alias("term_id"))

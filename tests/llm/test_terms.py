@@ -57,3 +57,11 @@ def test_deletes_meet_within_two_edits():
 @pytest.mark.parametrize("a,b,d", [("stack", "stack", 0), ("stakc", "stack", 0.8), ("staack", "stack", 0.8), ("stck", "stack", 1.0), ("xtack", "stack", 1.2), ("nteral", "neutral", 1.8)])
 def test_distance(a, b, d):
     assert S.distance(a, b) == pytest.approx(d)
+
+
+def test_names_are_an_input(spark):
+    v = spark.createDataFrame([(1, "cell_type", "scanning droplet flow cell", "SDFC, coupled"), (2, "cell_type", "beaker cell", "one open vessel")], "term_id int, field string, term string, gloss string")
+    e = spark.createDataFrame([("cell_type", x) for x in ("SDF", "sdfc cell", "Topf", "Toph", "beaker", "weg")], "field string, entry string")
+    names = spark.createDataFrame([("beaker cell", "topf"), (None, "weg")], "term string, name string")
+    got = {r.entry: r.term_id for r in S.term_mapping(e, v, names).collect()}
+    assert got == {"SDF": 1, "sdfc cell": 1, "Topf": 2, "Toph": 2, "beaker": 0, "weg": 0}
