@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from factspan.functions.marks import number_present, squeezed, text_present
+from factspan.session import staged
 
 #: Parts into which each group is split before its layers are taken.
 SALTS = 16
@@ -105,22 +106,56 @@ def resolve(thinned: DataFrame, keys: list[str], fields: dict[str, Column], laye
     return out.drop(*(f"_b_{f}" for f in fields))
 
 
-def box_groups(df: DataFrame, keys: list[str], lo: dict[str, str], hi: dict[str, str], rounds: int = 2) -> DataFrame:
-    """df with _g0.. columns that number, within keys, the groups of boxes linked by corners under BOX_TOLERANCE apart.
+def box_groups(cells: DataFrame, boxes: DataFrame, keys: list[str], corners: list[str]) -> DataFrame:
+    """cells with _group: within keys, the smallest cell of the boxes linked to a cell's by corners under BOX_TOLERANCE apart.
 
-    Rows are boxes or, as here, cells of boxes with the range (lo, hi) of each coordinate. One coordinate after the
-    other, rows are sorted and cut where the gap to all before is at least the tolerance; later coordinates are sorted
-    within the pieces, and a second round catches gaps that opened in between. All windows share the partitioning by
-    keys, and rows here are distinct places on one page, of which a page has a limited number.
+    cells: one row per grid cell of boxes (or part of one), with _cell, its name, and _lo_ and _hi_, the range of each
+    corner in it. One coordinate after the other, cells are sorted and cut where the gap to all before is at least the
+    tolerance, until no cut is left. A piece under the tolerance in every coordinate is one group, as all its boxes
+    coincide. Pieces that are longer are chains or neighbours in some coordinates only; their boxes are compared cell
+    by cell and the links followed to their end (linked_cells). All windows share the partitioning by keys; rows here
+    are distinct places on one page, of which a page has a limited number.
     """
     cut: list[str] = []
-    for i, c in enumerate([*lo] * rounds):
-        w = W.partitionBy(*keys, *cut).orderBy(F.col(lo[c]), F.col(hi[c]), F.col("_id"))
-        reach = F.max(hi[c]).over(w.rowsBetween(W.unboundedPreceding, -1))
-        df = df.withColumn("_new", F.when(F.col(lo[c]) - reach >= BOX_TOLERANCE, 1).otherwise(0))
-        df = df.withColumn(f"_g{i}", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    for i, c in enumerate([*corners] * 2):
+        w = W.partitionBy(*keys, *cut).orderBy(F.col(f"_lo_{c}"), F.col(f"_hi_{c}"), F.col("_id"))
+        reach = F.max(f"_hi_{c}").over(w.rowsBetween(W.unboundedPreceding, -1))
+        cells = cells.withColumn("_new", F.when(F.col(f"_lo_{c}") - reach >= BOX_TOLERANCE, 1).otherwise(0))
+        cells = cells.withColumn(f"_g{i}", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
         cut.append(f"_g{i}")
-    return df
+    piece = W.partitionBy(*keys, *cut)
+    long = reduce(lambda a, b: a | b, [F.max(f"_hi_{c}").over(piece) - F.min(f"_lo_{c}").over(piece) >= BOX_TOLERANCE for c in corners])
+    cells = cells.withColumn("_group", F.min("_cell").over(piece)).withColumn("_long", long).drop(*cut)
+    unsure = staged(cells.where("_long").select(*keys, "_cell").distinct())
+    if unsure.isEmpty():
+        return cells.drop("_long")
+    linked = linked_cells(boxes.join(unsure, [*keys, "_cell"], "left_semi"), keys, corners)
+    return cells.join(linked, [*keys, "_cell"], "left").withColumn("_group", F.when(F.col("_long"), F.coalesce("_label", "_cell")).otherwise(F.col("_group"))).drop("_long", "_label")
+
+
+def linked_cells(boxes: DataFrame, keys: list[str], corners: list[str]) -> DataFrame:
+    """keys, _cell, _label: for cells of boxes, the smallest cell reached over links between boxes of neighbouring cells.
+
+    Two cells are linked if any box of one is within the tolerance of any box of the other in all corners; boxes of
+    one cell always are. Labels are passed along links, and from label to label, until none changes.
+    """
+    grid = [f"_{c}" for c in corners]
+    b = boxes.select(*keys, "_cell", *grid, *corners).distinct()
+    steps = F.array(*(F.struct(*(F.lit(d).alias(g) for d, g in zip(ds, grid))) for ds in product((-1, 0, 1), repeat=len(grid)) if any(ds)))
+    other = b.select(*keys, F.col("_cell").alias("_from"), *(F.col(c).alias(f"o{c}") for c in corners), *(F.col(g).alias(f"f{g}") for g in grid))
+    other = other.withColumn("_s", F.explode(steps)).withColumns({g: F.col(f"f{g}") + F.col(f"_s.{g}") for g in grid})
+    near = reduce(lambda x, y: x & y, [F.abs(F.col(c) - F.col(f"o{c}")) < BOX_TOLERANCE for c in corners])
+    links = staged(b.join(other, [*keys, *grid]).where(near).select(*keys, "_cell", "_from").distinct())
+    labels = staged(b.select(*keys, "_cell").distinct().withColumn("_label", F.col("_cell")))
+    while True:
+        seen = links.join(labels.withColumnRenamed("_cell", "_from"), [*keys, "_from"]).groupBy(*keys, "_cell").agg(F.min("_label").alias("_near"))
+        new = labels.join(seen, [*keys, "_cell"], "left").withColumn("_low", F.least("_label", F.coalesce("_near", "_label")))
+        up = labels.select(*keys, F.col("_cell").alias("_low"), F.col("_label").alias("_top"))  # the label of the label: paths halve
+        new = staged(new.join(up, [*keys, "_low"], "left").select(*keys, "_cell", F.least("_low", F.coalesce("_top", "_low")).alias("_next"), "_label"))
+        settled = new.where("_next <> _label").isEmpty()
+        labels = new.select(*keys, "_cell", F.col("_next").alias("_label"))
+        if settled:
+            return labels
 
 
 def fact_survivors(facts: DataFrame) -> DataFrame:
@@ -140,14 +175,14 @@ def fact_survivors(facts: DataFrame) -> DataFrame:
     cell = [f"_{c}" for c in corners]
     for c in corners:
         d = d.withColumn(f"_{c}", F.floor(F.col(c) / BOX_TOLERANCE))
+    d = d.withColumn("_cell", F.concat_ws(" ", *cell))
     keys = ["sha", "type", "page"]
     present = {"value": number_present(F.col("value")), "parser": text_present(F.col("parser")), "model": text_present(F.col("model"))}
     trust = F.when(~F.isnan("confidence"), F.col("confidence"))
     thin = skyline(d, [*keys, *cell], "fact_id", present, trust, F.col("extracted_at"), extents=corners)
-    thin = box_groups(thin, keys, {c: f"_lo_{c}" for c in corners}, {c: f"_hi_{c}" for c in corners})
-    cuts = [c for c in thin.columns if c.startswith("_g")]
-    out = resolve(thin, [*keys, *cuts], {"value": F.col("value"), "parser": F.col("parser"), "model": F.col("model")})
-    return out.drop(*cuts)
+    thin = box_groups(staged(thin), d, keys, corners)
+    out = resolve(thin, [*keys, "_group"], {"value": F.col("value"), "parser": F.col("parser"), "model": F.col("model")})
+    return out.drop("_group")
 
 
 def plain_name(c: Column) -> Column:
@@ -159,8 +194,8 @@ def export_survivors(matrix_rows: DataFrame) -> DataFrame:
     """cell keys, n_rows, first_id, best_id, parser, parser_id, model_id, model_id_id: one row per benchmark cell.
 
     Exports of one paper, parser (that of the source file's name), label, mode and prompt_hash, however spelled, are
-    one cell. Recency is recorded_at; all exports are trusted alike. Rows without paper or label keep null keys and
-    form groups of their own.
+    one cell. Recency is recorded_at; all exports are trusted alike. A row that lacks any of these is no duplicate of
+    any other: it is a cell of its own.
     """
     d = matrix_rows.where(F.col("row_id").isNotNull()).select(
         squeezed(F.col("paper_sha8")).alias("paper"),
@@ -168,10 +203,13 @@ def export_survivors(matrix_rows: DataFrame) -> DataFrame:
         plain_name(F.col("label")).alias("label"), plain_name(F.col("mode")).alias("mode"),
         squeezed(F.col("prompt_hash")).alias("prompt"), "row_id", "parser", "model_id", "recorded_at",
     )
-    keys = ["paper", "file_parser", "label", "mode", "prompt"]
+    names = ["paper", "file_parser", "label", "mode", "prompt"]
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k) != "") for k in names])
+    d = d.withColumn("own", F.when(~F.coalesce(whole, F.lit(False)), F.col("row_id")))
+    keys = [*names, "own"]
     present = {"parser": text_present(F.col("parser")), "model_id": text_present(F.col("model_id"))}
     thin = skyline(d, keys, "row_id", present, F.lit(0.0), F.col("recorded_at"))
-    return resolve(thin, keys, {"parser": F.col("parser"), "model_id": F.col("model_id")})
+    return resolve(thin, keys, {"parser": F.col("parser"), "model_id": F.col("model_id")}).drop("own")
 
 
 def found(facts: DataFrame, matrix_rows: DataFrame) -> DataFrame:

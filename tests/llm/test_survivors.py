@@ -72,3 +72,25 @@ def test_hot_group(spark):
     out = S.resolve(thin, ["k"], {"a": F.col("i")}).collect()[0]
     best = d.orderBy(F.desc("t"), F.desc("r"), "i").first()
     assert out.n_rows == 20_000 and out.best_id == best.i
+
+
+def test_boxes_are_grouped_by_links_to_the_end(spark):
+    """Corners that no cut along one coordinate parts, a chain of many links, and plain pairs."""
+    r = random.Random(9)
+    places = [(0, 0), (2, 0), (1, 2), (4, 1), (3, 4)] + [(100 + k * 1.2, 50 - k * 1.1) for k in range(40)] + [(300 + r.uniform(0, 12), 300 + r.uniform(0, 12)) for _ in range(60)]
+    rows = [(i + 1, "ab", "p", "ECSA", 1.0, 0.5, T0, 1, (float(x), float(y), 5.0, 5.0)) for i, (x, y) in enumerate(places)]
+    group = list(range(len(places)))
+    for _ in places:
+        for a, p in enumerate(places):
+            for b, q in enumerate(places):
+                if all(abs(x - y) < 1.5 for x, y in zip(p, q)):
+                    group[a] = group[b] = min(group[a], group[b])
+    want = sorted(group.count(g) for g in set(group))
+    got = sorted(x.n_rows for x in S.fact_survivors(facts(spark, rows)).collect())
+    assert got == want and 40 in want
+
+
+def test_exports_without_a_key_are_no_duplicates(spark):
+    rows = [(i, "llm_matrix_dots_2026-01-01.csv", p, "dots", label, "m1", "raw", "h", T0) for i, (p, label) in enumerate([(None, "x"), (None, "x"), ("ab", None), ("ab", None), ("ab", "x"), ("ab", "x")])]
+    out = S.export_survivors(spark.createDataFrame(rows, ROWS)).collect()
+    assert sorted(x.n_rows for x in out) == [1, 1, 1, 1, 2]
