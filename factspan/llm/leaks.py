@@ -10,6 +10,7 @@ an item's window in a window of the document, and then on the order of their wor
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -48,17 +49,37 @@ SHARED = 3
 
 # Letters of other scripts that look like Latin ones.
 _LOOKALIKE = str.maketrans("аеорсухіјѕһԁԛѡкмтвнзαορνικτυχε", "aeopcyxijshdqwkmtbhzaopviktuxe")
-_DROP = regex.compile(r"[\p{Cf}\p{Mn}]+")
-_HYPHEN = regex.compile(r"(?<=\p{L})[-‐‑]\s*(?=\p{L})")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SENTENCE = regex.compile(r"^.*?[.:!?](?=\s|$)", regex.S)
+_HYPHEN = re.compile(r"(?<=[^\W\d_])-\s*(?=[^\W\d_])")
+
+
+class _Letters(dict):
+    """What each character of a decomposed text becomes: letters and digits themselves, marks and invisible ones nothing,
+    blanks a blank, hyphens a hyphen, all else a point. Filled as characters come up."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind in ("Mn", "Cf"):
+            out = ""
+        elif kind[0] in "LN":
+            out = c.translate(_LOOKALIKE)
+        else:
+            out = " " if c.isspace() else "-" if c in "-‐‑" else "."
+        self[code] = out
+        return out
+
+
+_LETTERS = _Letters()
 
 
 def words(text: str) -> list[str]:
     """The words of a text without regard to case, accents, look-alike letters, invisible characters, hyphens, layout."""
-    if not text.isascii():
-        text = _DROP.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_LOOKALIKE)
-    return _WORD.findall(_HYPHEN.sub("", text.lower()))
+    text = text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).lower()
+    text = text.translate(_LETTERS)
+    if "-" in text:
+        text = _HYPHEN.sub("", text).replace("-", " ")
+    return text.replace(".", " ").split()
 
 
 _A = np.array([xxhash.xxh64_intdigest(f"a{i}") | 1 for i in range(K)], dtype=np.uint64)
