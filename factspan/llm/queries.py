@@ -94,5 +94,18 @@ mr AS (
   FROM ml WHERE v IS NOT NULL AND lower(trim(v)) NOT IN {_MISSING})
 SELECT 'facts' AS tbl, first_id, 'value' AS field, fact_id AS best_id FROM fr WHERE r = 1
 UNION ALL SELECT 'matrix_rows', first_id, field, row_id FROM mr WHERE r = 1
+""",
+    "p1_cell_records": f"""
+WITH m AS (
+  SELECT row_id, lower(trim(paper_sha8)) AS paper, regexp_extract(lower(source_file), 'llm_matrix_(.+?)_[0-9]{{4}}', 1) AS file_parser,
+         regexp_replace(lower(trim(label)), '[ _]+', '-', 'g') AS label, regexp_replace(lower(trim(mode)), '[ _]+', '-', 'g') AS mode, lower(trim(prompt_hash)) AS prompt, recorded_at,
+         CASE WHEN lower(trim(parser)) NOT IN {_MISSING} THEN parser END AS parser, CASE WHEN lower(trim(model_id)) NOT IN {_MISSING} THEN model_id END AS model_id
+  FROM matrix_rows),
+o AS (SELECT *, (parser IS NOT NULL)::INT + (model_id IS NOT NULL)::INT AS n_has, CASE WHEN coalesce(paper, '') = '' OR coalesce(file_parser, '') = '' OR coalesce(label, '') = '' OR coalesce(mode, '') = '' OR coalesce(prompt, '') = '' THEN row_id END AS own FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY paper, file_parser, label, mode, prompt, own ORDER BY recorded_at DESC NULLS LAST, n_has DESC, row_id) AS k FROM o)
+SELECT paper, file_parser, label, mode, prompt, CAST(count(*) AS BIGINT) AS n_rows, min(row_id) AS first_id, arg_min(row_id, k) AS best_id,
+  arg_min(parser, k) FILTER (parser IS NOT NULL) AS parser, arg_min(row_id, k) FILTER (parser IS NOT NULL) AS parser_id,
+  arg_min(model_id, k) FILTER (model_id IS NOT NULL) AS model_id, arg_min(row_id, k) FILTER (model_id IS NOT NULL) AS model_id_id
+FROM r GROUP BY paper, file_parser, label, mode, prompt, own
 """,
 }
